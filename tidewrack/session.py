@@ -46,3 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: later plans start there and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned for Python work: small inputs, which AQE would join into one task, keep all cores busy."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(max(sc.defaultParallelism * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
