@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import blank_to_null, py_strip
 from ..session import table
-from . import encode, packing
+from . import canonical, encode, packing, records
 
 #: Tokens that a container of p9 holds.
 CAPACITY = 2048
 
 
+#: Fields of a paper that are chosen one by one.
+FIELDS = ["abstract_inverted_index", "doi", "language", "publication_date", "title", "venue"]
+
+
+def _paper_groups(works: DataFrame) -> DataFrame:
+    return records.link_groups(works, "row_no", [blank_to_null("id"), records.doi_key("doi")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "works").select("row_no", "id", "updated_date", *FIELDS)
+    return records.current_rows(works, _paper_groups(works), "row_no", "updated_date", FIELDS)
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each group, undated rows ordered by learned value transitions."""
+    works = table(spark, sf_dir, "works").select("row_no", "id", "updated_date", *FIELDS)
+    supply = records.current_rows(works, _paper_groups(works), "row_no", "updated_date", FIELDS, undated="currency")
+    return records.build_records(works, supply, "row_no", FIELDS).withColumn("abstract_inverted_index", F.to_json("abstract_inverted_index"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = table(spark, sf_dir, "species_ref")
+    said = table(spark, sf_dir, "final_relevant").select("rec_no", F.posexplode("species").alias("pos", "value")).filter(py_strip("value") != "")
+    said = said.join(ref.select(F.col("common_name").alias("value")), "value", "left_anti")
+    found = canonical.map_values(said, "value", ref, "species_id", ["common_name", "scientific_name"], ["other_names"])
+    return said.join(found, "value").select("rec_no", "pos", F.coalesce("ref", F.lit(0).cast("bigint")).alias("species_id"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -20,8 +49,32 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+
+
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+P4_SQL = f"""
+    WITH RECURSIVE k AS (
+        SELECT row_no, nullif({_strip('id')}, '') AS i,
+               nullif({_strip("regexp_replace(lower(" + _strip('doi') + "), '^(https?://[^/]+/|doi:)', '')")}, '') AS d
+        FROM works),
+    pairs AS (SELECT DISTINCT a.row_no AS x, b.row_no AS y FROM k a JOIN k b ON a.i = b.i
+              UNION SELECT a.row_no, b.row_no FROM k a JOIN k b ON a.d = b.d),
+    reach(x, y) AS (SELECT row_no, row_no FROM works UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+    g AS (SELECT x AS row_no, min(y) AS group_row FROM reach GROUP BY x HAVING count(*) > 1),
+    f AS (
+        SELECT group_row, unnest(['abstract_inverted_index', 'doi', 'language', 'publication_date', 'title', 'venue']) AS field_name,
+               unnest([coalesce(cardinality(abstract_inverted_index), 0) > 0] || list_transform([doi, language, publication_date, title, venue], lambda v: coalesce({_strip('v')}, '') <> '')) AS ok,
+               coalesce(updated_date, '') AS v, row_no
+        FROM works JOIN g USING (row_no))
+    SELECT group_row, field_name, arg_max(row_no, (v, row_no)) AS row_no FROM f WHERE ok GROUP BY group_row, field_name"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
