@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank_to_null, py_strip
 from ..session import table
-from . import canonical, encode, packing, records
+from . import canonical, encode, packing, records, residue
 
 #: Tokens that a container of p9 holds.
 CAPACITY = 2048
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.score(table(spark, sf_dir, "processed_s2"), "oa_id", "summary").filter("score > 0").select("oa_id")
+
+
 #: Fields of a paper that are chosen one by one.
 FIELDS = ["abstract_inverted_index", "doi", "language", "publication_date", "title", "venue"]
 
@@ -49,7 +53,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -77,4 +81,4 @@ P4_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p2_found": p2_found, "p4_found": P4_SQL}
