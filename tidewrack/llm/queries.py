@@ -6,12 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank_to_null, py_strip
 from ..session import table
-from . import canonical, encode, packing, records, residue
+from . import canonical, encode, encoding, packing, records, residue
 
 #: Tokens that a container of p9 holds.
 CAPACITY = 2048
 
 
+def _damage_model(works: DataFrame) -> encoding.Model:
+    words = works.select(F.explode(encoding.strange_words("abstract_inverted_index")).alias("text"))
+    return encoding.learn(works.select(F.col("title").alias("text")).unionAll(words))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged rows and fields with their non-ASCII texts as far as they can be restored."""
+    works = table(spark, sf_dir, "works").select("row_no", "title", "abstract_inverted_index")
+    fields = {"title": encoding.strange_text("title"), "abstract_inverted_index": encoding.strange_words("abstract_inverted_index")}
+    return encoding.find_damage(works, "row_no", fields, _damage_model(works))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("row_no", "field_name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.score(table(spark, sf_dir, "processed_s2"), "oa_id", "summary").filter("score > 0").select("oa_id")
 
@@ -53,7 +69,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -81,4 +97,4 @@ P4_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_found, "p4_found": P4_SQL}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p4_found": P4_SQL}
