@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank_to_null, py_strip
 from ..session import table
-from . import canonical, encode, encoding, packing, records, residue
+from . import canonical, encode, encoding, language, packing, records, residue
 
 #: Tokens that a container of p9 holds.
 CAPACITY = 2048
@@ -32,6 +32,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.score(table(spark, sf_dir, "processed_s2"), "oa_id", "summary").filter("score > 0").select("oa_id")
 
 
+def _title_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    works = table(spark, sf_dir, "works")
+    damage = _damage_model(works)
+    shared = spark.sparkContext.broadcast((damage.moves, damage.chars))
+
+    def mend():
+        model = encoding.Model(*shared.value)
+        return lambda t: model.repair(t)[1]
+
+    rows = works.select("row_no", "title", "language")
+    return rows, language.judge_texts(rows, "title", language.train(rows, "title", "language"), mend)
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every title's parts."""
+    rows, parts = _title_parts(spark, sf_dir)
+    return rows.join(parts, rows["title"] == parts["text"]).select("row_no", F.posexplode("parts").alias("part", "p")).select("row_no", "part", "p.start", "p.end", "p.lang", "p.confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, parts = _title_parts(spark, sf_dir)
+    judged = rows.join(parts, rows["title"] == parts["text"])
+    each = judged.select("row_no", language.label_code("language").alias("said"), F.size("parts").alias("n"), F.explode("parts.lang").alias("lang"))
+    return each.filter((F.col("n") > 1) | ~F.col("said").eqNullSafe(F.col("lang"))).select("row_no", "lang")
+
+
 #: Fields of a paper that are chosen one by one.
 FIELDS = ["abstract_inverted_index", "doi", "language", "publication_date", "title", "venue"]
 
@@ -69,7 +95,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
