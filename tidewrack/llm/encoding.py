@@ -8,6 +8,7 @@ repair only counts if the characters it gives are ones that the corpus uses.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections import Counter
@@ -29,6 +30,9 @@ VOTES = 2
 #: A character is the corpus's own if it is in so many different texts.
 KNOWN = 3
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_SHIFT = re.compile(r"\+([A-Za-z0-9+/]{3,})(-?)")
+#: What makes a text worth a look: anything beyond ASCII, or a run that seven-bit transports write.
+STRANGE = r"[^\x00-\x7f]|\+[A-Za-z0-9+/]{3}"
 _LONG = re.compile(r"(?:[^\x00-\x7f]{1,3}\s+)*[^\x00-\x7f]{4,}(?:[\s,:;.\-–]+[^\x00-\x7f]+)*")
 # Marks that may close a word after a small letter with an accent.
 _CLOSERS = "‘’“”–—…«»"
@@ -91,6 +95,15 @@ def votes(garbled: str, clean: str) -> set[tuple[str, str, int]]:
     return out
 
 
+def unshift(coded: str) -> str | None:
+    """Characters that a run of the seven-bit transport stands for, or null."""
+    try:
+        raw = base64.b64decode(coded + "=" * (-len(coded) % 4), validate=True)
+        return raw[: len(raw) // 2 * 2].decode("utf-16-be") if len(raw) > 1 and not any(raw[len(raw) // 2 * 2 :]) else None
+    except (ValueError, UnicodeDecodeError):
+        return None
+
+
 def _decodes(raw: bytes) -> bool:
     try:
         raw.decode("utf-8")
@@ -125,7 +138,7 @@ class Model:
 
     def repair(self, text: str) -> tuple[bool, str]:
         """Whether any part is damaged, and the text with all that can be restored restored."""
-        if text.isascii():
+        if text.isascii() and "+" not in text:
             return False, text
         got = self.memo.get(text)
         if got is None:
@@ -138,13 +151,24 @@ class Model:
     def _repair(self, text: str) -> tuple[bool, str]:
         bad = False
         for _ in range(3):  # a text may be damaged more than once
-            new = self._legacy(self._sequences(text))
+            new = self._legacy(self._sequences(self._shifted(text)))
             if new == text:
                 break
             bad, text = True, new
         left = any(c == "\ufffd" or ("\x80" <= c <= "\x9f" and c != "\x85") for c in text) or any(self._broken(m[0]) for m in _RUN.finditer(text))
         return bad or left, text
 
+    def _shifted(self, text: str) -> str:
+        """Seven-bit transport of UTF-16 read as ASCII, where it gives characters of the corpus only."""
+        if not any(m == "utf-7" for m, *_ in self.moves):
+            return text
+
+        def one(m: re.Match) -> str:
+            got = unshift(m[1])
+            return got if got and all(c in self.known and not c.isascii() for c in got) else m[0]
+
+        return _SHIFT.sub(one, text)
+
     def _sequences(self, text: str) -> str:
         """UTF-8 read as the one charset that restores most of the text, commoner characters deciding ties."""
         best, most = text, (0, 0.0)
@@ -280,7 +304,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     Each group of texts with one skeleton has one rival, the text with the fewest non-ASCII characters;
     every other text is aligned with it, so a group of n texts gives n - 1 pairs.
     """
-    distinct = cut(texts.select(F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]")).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    distinct = cut(texts.select(F.col(text).alias("t")).filter(F.col("t").rlike(STRANGE)).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
     each = F.array_distinct(F.split(F.regexp_replace("t", r"[\x00-\x7f]", ""), ""))
     chars = {r.c: r.n for r in distinct.select(F.explode(each).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect() if len(r.c) == 1}
     keyed = distinct.withColumn("k", skeleton(F.col("t"))).filter("k IS NOT NULL").withColumn("strange", F.length(F.regexp_replace("t", r"[\x00-\x7f]", "")))
@@ -296,10 +320,11 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     # Charsets that change a text's length leave no common alignment: there the twin is the text that the transformation gives.
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, m, w, x) for t in b["t"] for m in MEANT[1:] for w in LATIN if (x := _read_as(t, m, w)) is not None]
+            rows = [(t, "utf-7", "ascii", x) for t in b["t"] if (x := _SHIFT.sub(lambda m: unshift(m[1]) or m[0], t)) != t]
+            rows += [(t, m, w, x) for t in b["t"] for m in MEANT[1:] for w in LATIN if (x := _read_as(t, m, w)) is not None]
             yield pd.DataFrame(rows, columns=["t", "meant", "wrong", "twin"])
 
-    legacy = distinct.filter(F.col("t").rlike(r"[\x{80}-\x{ff}\x{152}-\x{17e}\x{192}\x{2013}-\x{203a}]{4,}") & ~F.col("t").rlike(r"[\x{400}-\x{1fff}\x{3000}-\x{d7ff}]")).select("t")
+    legacy = distinct.filter(F.col("t").rlike(r"\+[A-Za-z0-9+/]{3}|[\x{80}-\x{ff}\x{152}-\x{17e}\x{192}\x{2013}-\x{203a}]{4,}") & ~F.col("t").rlike(r"[\x{400}-\x{1fff}\x{3000}-\x{d7ff}]")).select("t")
     exact = spread(legacy, "t").mapInPandas(guess, "t string, meant string, wrong string, twin string").join(distinct.select(F.col("t").alias("twin")), "twin", "left_semi")
     said = spread(pairs, "t").mapInPandas(work, "meant string, wrong string, times int, n bigint").unionAll(exact.select("meant", "wrong", F.lit(1).alias("times"), F.lit(1).cast("bigint").alias("n")))
     got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).filter(F.col("n") >= VOTES)
@@ -337,9 +362,47 @@ def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model
 
 def strange_words(c: Column | str) -> Column:
     """The words of an inverted index that are not plain ASCII."""
-    return F.filter(F.coalesce(F.map_keys(c), F.array().cast("array<string>")), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    return F.filter(F.coalesce(F.map_keys(c), F.array().cast("array<string>")), lambda w: w.rlike(STRANGE))
 
 
 def strange_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.when(c.rlike(STRANGE), F.array(c)).otherwise(F.array().cast("array<string>"))
+
+
+def tokens_of(c: Column) -> Column:
+    """Words of a text that hold a character beyond ASCII and at least two of ASCII."""
+    return F.filter(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]*(?:[^\x00-\x7f\s][A-Za-z0-9]*)+"), 0), lambda w: F.length(F.regexp_replace(w, r"[^\x00-\x7f]", "")) >= 2)
+
+
+def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model) -> DataFrame:
+    """``(key, field_name, restored)`` where words lost invisible characters after they were wrongly decoded.
+
+    Such a word can't be decoded any more. It is found as what a learned transformation makes of a common
+    clean word once control characters and soft hyphens are gone.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    moves = [w for m, w, t in model.moves if m == "utf-8" and t == 1]
+    each = None
+    for f, c in fields.items():
+        one = df.select(key, F.lit(f).alias("field_name"), F.explode(F.flatten(F.transform(c, tokens_of))).alias("word"))
+        each = one if each is None else each.unionAll(one)
+    each = cut(each)
+    common = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = set()
+            for word in b["meant"]:
+                for wrong in moves:
+                    full = misread(word, "utf-8", wrong)
+                    left = re.sub("[\x80-\x9f\xad]", "", full) if full else word
+                    if full and left != full and left != word and not left.isascii():
+                        rows.add((left, word))
+            yield pd.DataFrame(sorted(rows), columns=["word", "meant"])
+
+    clean = common.filter(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), "n")
+    made = spread(clean.select("meant"), "meant").mapInPandas(forms, "word string, meant string").join(clean, "meant")
+    best = made.groupBy("word").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"), F.max("n").alias("m"))
+    rare = best.join(common, "word").filter(F.col("n") * 4 <= F.col("m")).select("word", "meant")
+    return each.join(rare, "word").groupBy(key, "field_name").agg(F.sort_array(F.collect_set("meant")).alias("restored")).select(F.col(key).cast(kind), "field_name", "restored")

@@ -21,11 +21,13 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged rows and fields with their non-ASCII texts as far as they can be restored."""
     works = table(spark, sf_dir, "works").select("row_no", "title", "abstract_inverted_index")
     fields = {"title": encoding.strange_text("title"), "abstract_inverted_index": encoding.strange_words("abstract_inverted_index")}
-    return encoding.find_damage(works, "row_no", fields, _damage_model(works))
+    model = _damage_model(works)
+    found = encoding.find_damage(works, "row_no", fields, model)
+    return found.unionAll(encoding.find_lossy(works, "row_no", fields, model))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_restored(spark, sf_dir).select("row_no", "field_name")
+    return p1_restored(spark, sf_dir).select("row_no", "field_name").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
