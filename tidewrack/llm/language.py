@@ -31,6 +31,8 @@ MOST_CHARS = 48_000
 TRIPLES = 1 << 16
 #: A part wins clearly if the other part's language needs so many times its bits.
 MARGIN = 1.25
+#: A language that needs so many times the best one's bits is not parsed further.
+FAR = 1.8
 #: Letters that a part must have, in alphabets of letters and in scripts where a sign says more.
 LEAST_LATIN, LEAST_OTHER = 12, 5
 
@@ -144,6 +146,7 @@ class Judge:
     """Languages by their automata."""
 
     def __init__(self, texts: dict[str, list[str]]):
+        self.last = ""
         self.by = {lang: Automaton("\n".join(t)[:MOST_CHARS]) for lang, t in sorted(texts.items()) if t}
 
     def rank(self, text: str) -> list[tuple[float, str]]:
@@ -152,15 +155,28 @@ class Judge:
         if not text or not self.by:
             return []
         codes = [ord(c) for c in text]
-        letters = [c for c in text if c.isalpha()]
-        able = [a for a in self.by if sum(c in self.by[a].chars for c in letters) >= 0.7 * len(letters)] or list(self.by)
+        letters = {c for c in set(text) if c.isalpha()}
+        able = [a for a in self.by if len(letters & self.by[a].chars) >= 0.7 * len(letters)] or list(self.by)
+        # The last winner is tried first: what falls far behind it is not parsed to the end.
         best, out = math.inf, []
-        for lang in able:
+        for lang in sorted(able, key=lambda x: x != self.last):
             a = self.by[lang]
-            bits = a.phrases(codes, 2.5 * best / a.bits) * a.bits
+            bits = a.phrases(codes, FAR * best / a.bits) * a.bits
             best = min(best, bits)
             out.append((bits / len(codes), lang))
-        return sorted(out)
+        out.sort()
+        self.last = out[0][1]
+        return out
+
+    def holds(self, text: str, lang: str) -> bool:
+        """Whether no language needs fewer bits than this one for the text."""
+        text = essence(text)
+        codes = [ord(c) for c in text]
+        letters = {c for c in set(text) if c.isalpha()}
+        if not codes or len(letters & self.by[lang].chars) < 0.7 * len(letters):
+            return False
+        own = self.by[lang].phrases(codes, math.inf) * self.by[lang].bits
+        return all(a.phrases(codes, own / a.bits) * a.bits >= own for x, a in self.by.items() if x != lang)
 
     def parts(self, text: str) -> list[tuple[int, int, str, float]]:
         """``(start, end, language, confidence)``: one part, or two where the text joins two languages."""
@@ -174,7 +190,10 @@ class Judge:
             left, right = text[: m.start()], text[m.end() :]
             if not (enough(left) and enough(right)):
                 continue
-            a, b = self.rank(plain(left)), self.rank(plain(right))
+            x, y = plain(left), plain(right)
+            if self.holds(x, one[0][1]) and self.holds(y, one[0][1]):
+                continue
+            a, b = self.rank(x), self.rank(y)
             if not a or not b or a[0][1] == b[0][1]:
                 continue
             sure = min(other(a, b[0][1]) / a[0][0], other(b, a[0][1]) / b[0][0])
@@ -198,7 +217,7 @@ def confidence(ranked: list[tuple[float, str]]) -> float:
 
 def essence(text: str) -> str:
     """The text without Latin words when another script carries it: names of species and places in it count for nothing."""
-    others = sum(c.isalpha() and ord(c) > 0x24F for c in text)
+    others = 0 if text.isascii() else sum(c.isalpha() and ord(c) > 0x24F for c in text)
     if others >= 3 and others >= 0.15 * sum(map(str.isalpha, text)):
         return re.sub(r"\s+", " ", _LATIN.sub("", text)).strip()
     return text
