@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes
+from . import changes, curation, release
 
-_PARTS = (changes,)
+_PARTS = (changes, curation, release)
 
 
 def queries() -> dict:
