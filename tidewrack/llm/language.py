@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import py_strip
@@ -103,7 +103,7 @@ class Automaton:
         link, length, step = [-1], [0], [{}]
         last = 0
         for ch in text:
-            c = ord(ch)
+            c = ch
             cur = len(link)
             link.append(0), length.append(length[last] + 1), step.append({})
             p = last
@@ -122,23 +122,32 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.go = {(s << 21) | c: t for s, d in enumerate(step) for c, t in d.items()}
+        # A state is the table of its transitions, so a step is one look-up.
+        nodes: list[dict] = [{} for _ in step]
+        for node, d in zip(nodes, step):
+            for c, t in d.items():
+                node[c] = nodes[t]
+        self.root = nodes[0]
         self.bits = math.log2(len(text) + 2)
         self.chars = set(text)
 
-    def phrases(self, codes: list[int], limit: float) -> int:
-        """Phrases of the greedy parse; stops once there are more than ``limit``."""
-        get, n, i, count = self.go.get, len(codes), 0, 0
-        while i < n:
-            state, start = 0, i
-            while i < n and (to := get((state << 21) | codes[i])) is not None:
-                state = to
-                i += 1
-            if i == start:
-                i += 1
-            count += 1
-            if count > limit:
-                break
+    def phrases(self, text: str, limit: float) -> int:
+        """Phrases of the greedy parse, an unknown character being one; stops once there are more than ``limit``."""
+        root = node = self.root
+        count = 0
+        for ch in text:
+            to = node.get(ch)
+            if to is None:
+                if node is not root:
+                    to = root.get(ch)
+                count += 1
+                if count > limit:
+                    break
+                node = root if to is None else to
+            else:
+                if node is root:
+                    count += 1
+                node = to
         return count
 
 
@@ -154,16 +163,15 @@ class Judge:
         text = essence(text)
         if not text or not self.by:
             return []
-        codes = [ord(c) for c in text]
         letters = {c for c in set(text) if c.isalpha()}
         able = [a for a in self.by if len(letters & self.by[a].chars) >= 0.7 * len(letters)] or list(self.by)
         # The last winner is tried first: what falls far behind it is not parsed to the end.
         best, out = math.inf, []
         for lang in sorted(able, key=lambda x: x != self.last):
             a = self.by[lang]
-            bits = a.phrases(codes, FAR * best / a.bits) * a.bits
+            bits = a.phrases(text, FAR * best / a.bits) * a.bits
             best = min(best, bits)
-            out.append((bits / len(codes), lang))
+            out.append((bits / len(text), lang))
         out.sort()
         self.last = out[0][1]
         return out
@@ -171,12 +179,11 @@ class Judge:
     def holds(self, text: str, lang: str) -> bool:
         """Whether no language needs fewer bits than this one for the text."""
         text = essence(text)
-        codes = [ord(c) for c in text]
         letters = {c for c in set(text) if c.isalpha()}
-        if not codes or len(letters & self.by[lang].chars) < 0.7 * len(letters):
+        if not text or len(letters & self.by[lang].chars) < 0.7 * len(letters):
             return False
-        own = self.by[lang].phrases(codes, math.inf) * self.by[lang].bits
-        return all(a.phrases(codes, own / a.bits) * a.bits >= own for x, a in self.by.items() if x != lang)
+        own = self.by[lang].phrases(text, math.inf) * self.by[lang].bits
+        return all(a.phrases(text, own / a.bits) * a.bits >= own for x, a in self.by.items() if x != lang)
 
     def parts(self, text: str) -> list[tuple[int, int, str, float]]:
         """``(start, end, language, confidence)``: one part, or two where the text joins two languages."""
@@ -298,10 +305,16 @@ def judge_texts(texts: DataFrame, text: str, model: dict[str, list[str]], mend=N
     shared = texts.sparkSession.sparkContext.broadcast(model)
     distinct = texts.select(F.col(text).alias("text")).filter(py_strip("text") != "").distinct()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge, fix = Judge(shared.value), mend() if mend else None
         for b in batches:
-            got = [judge.parts(fix(t) if fix else t) for t in b["text"]]
-            yield pd.DataFrame({"text": b["text"], "parts": [[{"start": s, "end": e, "lang": x, "confidence": c} for s, e, x, c in g] for g in got]})
-
-    return spread(distinct, "text").mapInPandas(work, f"text string, parts {PARTS}")
+            texts = b.column(0)
+            got = [judge.parts(fix(t) if fix else t) for t in texts.to_pylist()]
+            ends = np.zeros(len(got) + 1, dtype=np.int32)
+            np.cumsum([len(g) for g in got], out=ends[1:])
+            flat = [p for g in got for p in g]
+            kinds = [("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]
+            parts = pa.StructArray.from_arrays([pa.array([p[i] for p in flat], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+            yield pa.RecordBatch.from_arrays([texts, pa.ListArray.from_arrays(pa.array(ends), parts)], names=["text", "parts"])
+
+    return spread(distinct, "text").mapInArrow(work, f"text string, parts {PARTS}")
