@@ -24,12 +24,14 @@ from ..session import cut, spread
 WRONG = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "iso8859-2", "iso8859-5", "iso8859-7", "koi8-r", "cp437", "cp850", "cp866", "mac_roman"]
 MEANT = ["utf-8", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "shift_jis", "euc_jp", "gbk", "big5", "euc_kr"]
 WIDE = ["shift_jis", "euc_jp", "gbk", "big5", "euc_kr"]
+_CYRILLIC = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя"
 LATIN = ["latin-1", "cp1252", "mac_roman", "cp437"]
 #: A transformation needs so many votes of different text pairs.
 VOTES = 2
 #: A character is the corpus's own if it is in so many different texts.
 KNOWN = 3
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_FOUR = re.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]{3}|[^\n]{0,3}[^\x00-\x7f]){1,}")
 _SHIFT = re.compile(r"\+([A-Za-z0-9+/]{3,})(-?)")
 #: What makes a text worth a look: anything beyond ASCII, or a run that seven-bit transports write.
 STRANGE = r"[^\x00-\x7f]|\+[A-Za-z0-9+/]{3}"
@@ -118,6 +120,14 @@ def _block(c: str) -> int:
     return 0x4E if 0x3400 <= n <= 0x9FFF else 0xAC if 0xAC00 <= n <= 0xD7A3 else n >> 8
 
 
+def _hint(wrong: str) -> re.Pattern:
+    """What any misread sequence of a charset must hold: a lead byte's character, in either case, and one of a byte that goes on."""
+    chars = table_of(wrong)[0]
+    lead = {c for b in range(0xC2, 0xF5) for c in (chars[b], chars[b].upper(), chars[b].lower()) if len(c) == 1}
+    rest = {c for b in range(0x80, 0xC0) for c in (chars[b], chars[b].upper(), chars[b].lower()) if len(c) == 1}
+    return re.compile(f"[{re.escape(''.join(sorted(lead)))}][{re.escape(''.join(sorted(rest)))}]")
+
+
 def change_back(c: str, change) -> str:
     """A letter restored from a text that changed case takes the text's case."""
     back = {str.upper: str.lower, str.lower: str.upper}.get(change)
@@ -134,6 +144,11 @@ class Model:
     def __post_init__(self) -> None:
         self.known = {c for c, n in self.chars.items() if n >= KNOWN and not "\x80" <= c <= "\x9f" and c != "\ufffd"}
         self.blocks = {_block(c) for c in self.known}
+        charsets = [w for m, w, _ in self.moves if m == "utf-8"]
+        self.hints = {w: _hint(w) for w in charsets}
+        self.hint = re.compile("|".join(h.pattern for h in self.hints.values())) if charsets else None
+        starts = {c.encode()[:2] for c in self.known if 0x2000 <= ord(c) <= 0x206F}
+        self.stubs = {s for w in charsets for b in starts if (s := "".join(table_of(w)[0][x] for x in b))[0] not in _CYRILLIC}
         self.memo: dict[str, tuple[bool, str]] = {}
 
     def repair(self, text: str) -> tuple[bool, str]:
@@ -172,8 +187,10 @@ class Model:
     def _sequences(self, text: str) -> str:
         """UTF-8 read as the one charset that restores most of the text, commoner characters deciding ties."""
         best, most = text, (0, 0.0)
+        if self.hint is None or not self.hint.search(text):
+            return text
         for meant, wrong, _ in self.moves:
-            if meant == "utf-8":
+            if meant == "utf-8" and self.hints[wrong].search(text):
                 took = [0, 0.0]
 
                 def one(m: re.Match, wrong: str = wrong, took: list = took) -> str:
@@ -240,8 +257,10 @@ class Model:
 
     def _legacy(self, text: str) -> str:
         """Text of a charset other than UTF-8: the whole, or runs of four or more and the short ones beside them."""
+        if not _FOUR.search(text):
+            return text
         for meant, wrong, _ in self.moves:
-            if meant == "utf-8":
+            if meant in ("utf-8", "utf-7"):
                 continue
             # Charsets of two bytes also use ASCII bytes, so there the whole is read if it looks foreign at all.
             if meant in WIDE and sum(map(len, _RUN.findall(text))) >= max(4, 0.4 * len(text)) and (got := self._foreign(text, meant, wrong)):
@@ -274,19 +293,7 @@ class Model:
 
     def _broken(self, run: str) -> bool:
         """A run that begins a three-byte character of the corpus under some learned charset and then stops."""
-        for meant, wrong, _ in self.moves:
-            if meant != "utf-8":
-                continue
-            raw = to_bytes(run[:2], wrong)
-            if raw and len(raw) == 2 and raw in self.starts and run[0] not in "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя":
-                return True
-        return False
-
-    @property
-    def starts(self) -> set[bytes]:
-        if not hasattr(self, "_starts"):
-            self._starts = {c.encode()[:2] for c in self.known if 0x2000 <= ord(c) <= 0x206F}
-        return self._starts
+        return run[:2] in self.stubs
 
 
 def _read_as(text: str, meant: str, wrong: str) -> str | None:

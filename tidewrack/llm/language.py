@@ -11,6 +11,7 @@ left out of its own class, judges the labelled sample, and only texts whose labe
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
@@ -306,7 +307,10 @@ def judge_texts(texts: DataFrame, text: str, model: dict[str, list[str]], mend=N
     distinct = texts.select(F.col(text).alias("text")).filter(py_strip("text") != "").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # hundreds of thousands of small tables that stay: nothing to collect among them
         judge, fix = Judge(shared.value), mend() if mend else None
+        gc.freeze()
+        gc.enable()
         for b in batches:
             texts = b.column(0)
             got = [judge.parts(fix(t) if fix else t) for t in texts.to_pylist()]
