@@ -114,8 +114,8 @@ def annotate(df: DataFrame, annotator: Annotator, prompt: str = "prompt", batch:
             texts = s.fillna("").tolist()
             yield pd.Series([r for i in range(0, len(texts), batch) for r in annotator.reply(texts[i : i + batch])], dtype=object)
 
-    # Marked so that the call is not merged into the expressions that parse its result.
-    out = df.withColumn("reply", run.asNondeterministic()(F.col(prompt))).withColumn("ai_metadata", model_json.normalize_reply("reply", "title"))
+    # Through a generator of one row, so that the call is not merged into the expressions that parse its result.
+    out = df.withColumn("reply", F.explode(F.array(run(F.col(prompt))))).withColumn("ai_metadata", model_json.normalize_reply("reply", "title"))
     m = F.col("ai_metadata")
     return out.withColumn(
         "classification",
