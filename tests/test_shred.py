@@ -24,8 +24,8 @@ def named(x):
 def brute(n, line):
     """The rows of a line written down directly from its JSON."""
     try:
-        o = json.loads((line or "").strip())
-    except ValueError:
+        o = json.loads((line or "").strip(), parse_constant=lambda _: 1 / 0)
+    except (ValueError, ZeroDivisionError, RecursionError):
         return set()
     if not isinstance(o, dict):
         return set()
