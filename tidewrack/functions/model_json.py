@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from . import vocab
 from .records import string_of
-from .text import _col, py_strip, strip_lower
+from .text import _col, let, py_strip, strip_lower
 
 FACET = "array<struct<name:string,evidence:string,out_of_schema:boolean>>"
 SPECIES = "array<struct<name:string,scientific_name:string,category:string,evidence:string,out_of_schema:boolean>>"
@@ -118,7 +118,10 @@ def normalize_reply(reply: Column | str, title: Column | str | None = None) -> C
     one is repaired: lists that are none are emptied, vocabularies checked, an empty modality list is
     acoustic on the title's evidence, scores clamped, enumerations defaulted.
     """
-    v = extract_json(reply)
+    return let(extract_json(reply), lambda v: _normalized(v, title))
+
+
+def _normalized(v: Column, title: Column | str | None) -> Column:
     obj = is_object(v)
     empty = v.isNull() | (obj & (F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 0))
     flag = F.try_variant_get(v, "$.is_relevant", "variant")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels as L
-from ..functions.text import _col
 from .filters import drop_labels
 
+Label = Callable[[Column], Column]
+
 
 def load_release(df: DataFrame, year: str = "year", trad: str = "research_tradition", year_min: int = 1950, year_max: int = 2026) -> DataFrame:
     """Rows with a year in range and a known tradition; adds ``trad3`` and ``group2``. Years may be of any type."""
@@ -19,16 +22,20 @@ def load_release(df: DataFrame, year: str = "year", trad: str = "research_tradit
     return out.withColumn("trad3", L.tradition(trad)).withColumn("group2", L.tradition_group(trad)).filter("group2 IS NOT NULL")
 
 
-def value_counts(df: DataFrame, c: str, label: Column | None = None, drop: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """``(by..., label, n)`` of a scalar column: nulls and blanks left out, labels normalised and trimmed."""
-    named = df.filter(F.col(c).isNotNull()).select(*(by or []), (label if label is not None else _col(c).cast("string")).alias("label"))
-    return drop_labels(named, "label", drop or []).groupBy(*(by or []), "label").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, c: str, label: Label | None = None, drop: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """``(by..., label, n)`` of a scalar column: nulls and blanks left out, labels normalised and trimmed.
+
+    Raw values are counted first, so ``label``, which maps a Column to a Column, runs once per distinct value.
+    """
+    keys = by or []
+    raw = df.filter(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    named = raw.withColumn("label", label(F.col("label"))) if label else raw
+    return drop_labels(named, "label", drop or []).groupBy(*keys, "label").agg(F.sum("_n").alias("n"))
 
 
-def value_counts_list(df: DataFrame, c: str, label=None, drop: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """As ``value_counts`` for a list column: counts mentions. ``label`` maps a Column to a Column."""
-    each = df.select(*(by or []), F.explode(L.string_list(c)).alias("_x"))
-    return value_counts(each, "_x", label(F.col("_x")) if label else None, drop, by)
+def value_counts_list(df: DataFrame, c: str, label: Label | None = None, drop: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """As ``value_counts`` for a list column: counts mentions."""
+    return value_counts(df.select(*(by or []), F.explode(L.string_list(c)).alias("_x")), "_x", label, drop, by)
 
 
 def ranked(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -139,7 +146,7 @@ def species_report(release: DataFrame, k: int = 15) -> DataFrame:
 
 def venue_report(release: DataFrame, k: int = 15) -> DataFrame:
     r = load_release(release)
-    return dual_report(value_counts(r, "venue", L.venue_label("venue"), [], ["group2"]), k)
+    return dual_report(value_counts(r, "venue", L.venue_label, [], ["group2"]), k)
 
 
 def institution_report(release: DataFrame, k: int = 15) -> DataFrame:

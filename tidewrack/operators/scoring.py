@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import model_json
 from ..functions.text import round4
@@ -62,10 +62,15 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", threshold: float =
             parts = [scorer.score(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             yield pd.Series(np.concatenate(parts).astype(float) if parts else [], dtype=float)
 
-    scored = df.withColumn("bert_score", round4(run(F.col(text))))
+    scored = _apart(df, "_p", run(F.col(text))).withColumn("bert_score", round4("_p")).drop("_p")
     return scored.withColumns({"bert_label": (F.col("bert_score") >= threshold).cast("int"), "bert_threshold": F.lit(float(threshold))})
 
 
+def _apart(df: DataFrame, name: str, call: Column) -> DataFrame:
+    """The result of a model call as a column that no expression or filter above is merged with: a generator of one row stands between."""
+    return df.withColumn(name, F.explode(F.array(call)))
+
+
 def positives(df: DataFrame, threshold: float = 0.45) -> DataFrame:
     return df.filter(F.col("bert_score") >= threshold)
 
@@ -114,8 +119,7 @@ def annotate(df: DataFrame, annotator: Annotator, prompt: str = "prompt", batch:
             texts = s.fillna("").tolist()
             yield pd.Series([r for i in range(0, len(texts), batch) for r in annotator.reply(texts[i : i + batch])], dtype=object)
 
-    # Through a generator of one row, so that the call is not merged into the expressions that parse its result.
-    out = df.withColumn("reply", F.explode(F.array(run(F.col(prompt))))).withColumn("ai_metadata", model_json.normalize_reply("reply", "title"))
+    out = _apart(df, "reply", run(F.col(prompt))).withColumn("ai_metadata", model_json.normalize_reply("reply", "title"))
     m = F.col("ai_metadata")
     return out.withColumn(
         "classification",

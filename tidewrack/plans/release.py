@@ -46,7 +46,7 @@ def release_rows(spark, d):
 
 
 def venue_counts(spark, d):
-    return reports.value_counts(_release(spark, d), "venue", L.venue_label("venue"))
+    return reports.value_counts(_release(spark, d), "venue", L.venue_label)
 
 
 def institution_counts(spark, d):
