@@ -52,3 +52,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitioned for Python work: small inputs, which AQE would join into one task, keep all cores busy."""
     sc = df.sparkSession.sparkContext
     return df.repartition(max(sc.defaultParallelism * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def busy(df: DataFrame, *keys: str) -> DataFrame:
+    """The input as it is if its scan gives every core a task, else spread over them by key.
+
+    Judged by the plan's size estimate, without running anything; a large input is never shuffled for it.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= task * spark.sparkContext.defaultParallelism else spread(df, *keys)
