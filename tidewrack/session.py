@@ -60,6 +60,6 @@ def busy(df: DataFrame, *keys: str) -> DataFrame:
     Judged by the plan's size estimate, without running anything; a large input is never shuffled for it.
     """
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df if size >= task * spark.sparkContext.defaultParallelism else spread(df, *keys)
