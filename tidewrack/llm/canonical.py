@@ -226,7 +226,8 @@ def near_words(known: list[str]) -> dict[str, list[str]]:
     """
     heads, tails = sorted({k.partition(" ")[0] for k in known if " " in k}), sorted({k.partition(" ")[2] for k in known if " " in k})
     listed = {letters(k) for k in known}
-    close = lambda w, all_: [x for x in all_ if x != w and distance(letters(w), letters(x), 3) <= 3]
+    # An edit changes at most two of the letters that words have.
+    close = lambda w, all_: [x for x in all_ if x != w and len(set(w) ^ set(x)) <= 6 and distance(letters(w), letters(x), 3) <= 3]
     by_head, by_tail = {h: close(h, heads) for h in heads}, {t: close(t, tails) for t in tails}
     out: dict[str, list[str]] = {}
     for k in known:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import busy
+
 #: Rows of one Arrow batch that are encoded and handed on together.
 STEP = 256
 #: Pieces whose ids are remembered in a worker, and their greatest length in characters.
@@ -146,7 +148,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, ids array<int>")
+    return busy(df.select(key, text), key).mapInArrow(work, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -162,6 +164,6 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_tokens bigint")
+    return busy(df.select(key, text), key).mapInArrow(work, f"`{key}` {kind}, n_tokens bigint")
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut, spread
+from ..session import busy, cut, spread
 
 # Charsets that texts are wrongly read in, and those that they are really in.
 WRONG = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "iso8859-2", "iso8859-5", "iso8859-7", "koi8-r", "cp437", "cp850", "cp866", "mac_roman"]
@@ -364,7 +364,7 @@ def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model
                         rows.append((k, f, [y for _, y in got]))
             yield pd.DataFrame(rows, columns=[key, "field_name", "restored"])
 
-    return strange.mapInPandas(work, f"`{key}` {kind}, field_name string, restored array<string>")
+    return busy(strange, key).mapInPandas(work, f"`{key}` {kind}, field_name string, restored array<string>")
 
 
 def strange_words(c: Column | str) -> Column:

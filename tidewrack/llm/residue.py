@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import py_strip
+from ..session import busy
 
 #: Length of the table of log odds; words share a place by hash.
 DIM = 1 << 18
@@ -182,4 +183,4 @@ def score(df: DataFrame, key: str, text: str, model: tuple[np.ndarray, float] |
         for b in batches:
             yield pd.DataFrame({key: b[key], "score": [score_text(t, shared.value, prior) for t in b[text]]})
 
-    return df.filter(eligible(text)).select(key, text).mapInPandas(work, f"`{key}` {kind}, score double")
+    return busy(df.filter(eligible(text)).select(key, text), key).mapInPandas(work, f"`{key}` {kind}, score double")

@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import busy
+
 DIM = 1 << 17
 #: Rounds of dividing the corpus and counting again.
 ROUNDS = 2
@@ -464,7 +466,7 @@ def count(docs: DataFrame, text: str, table: Table | None) -> Table:
         yield pd.DataFrame({"p": p, "yes": yes[p], "all": all_[p]})
         yield pd.DataFrame({"p": [-1], "yes": [ends[0]], "all": [ends[1]]})
 
-    rows = docs.select(text).mapInPandas(work, "p long, yes double, all double").groupBy("p").agg(F.sum("yes").alias("yes"), F.sum("all").alias("all")).toPandas()
+    rows = busy(docs.select(text), text).mapInPandas(work, "p long, yes double, all double").groupBy("p").agg(F.sum("yes").alias("yes"), F.sum("all").alias("all")).toPandas()
     yes, all_ = np.zeros(DIM), np.zeros(DIM)
     own = rows[rows["p"] >= 0]
     yes[own["p"].to_numpy()], all_[own["p"].to_numpy()] = own["yes"], own["all"]
@@ -498,4 +500,4 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", table: Table
                 rows = [(k, x, y) for k, s in zip(part[key], part[text]) for x, y in sentences(s, own)]
                 yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos"])
 
-    return docs.select(key, text).mapInPandas(work, f"`{key}` {kind}, start_pos int, end_pos int")
+    return busy(docs.select(key, text), key).mapInPandas(work, f"`{key}` {kind}, start_pos int, end_pos int")
