@@ -106,6 +106,10 @@ def unshift(coded: str) -> str | None:
         return None
 
 
+def _chosen(run: tuple[str, str | None, bool]) -> str:
+    return run[1] if run[2] and run[1] is not None else run[0]
+
+
 def _decodes(raw: bytes) -> bool:
     try:
         raw.decode("utf-8")
@@ -266,13 +270,17 @@ class Model:
             if meant in WIDE and sum(map(len, _RUN.findall(text))) >= max(4, 0.4 * len(text)) and (got := self._foreign(text, meant, wrong)):
                 return got
 
-            def one(m: re.Match, meant: str = meant, wrong: str = wrong) -> str:
-                return self._foreign(m[0], meant, wrong) or m[0]
-
-            def near(m: re.Match, one=one, meant: str = meant, wrong: str = wrong) -> str:
-                # One long damaged run convicts its neighbours: short words beside it are damaged as well.
-                long = [r for r in _RUN.findall(m[0]) if len(r) >= 4]
-                return _RUN.sub(one, m[0]) if all(self._foreign(r, meant, wrong) for r in long) else m[0]
+            def near(m: re.Match, meant: str = meant, wrong: str = wrong) -> str:
+                """Long runs that decode, and the short words beside one: it convicts its neighbours."""
+                runs = _RUN.findall(m[0])
+                got = [self._foreign(r, meant, wrong) for r in runs]
+                sure = [g is not None and len(r) >= 4 for r, g in zip(runs, got)]
+                for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+                    step = -1 if order.step > 0 else 1
+                    for i in order:
+                        sure[i] = sure[i] or (sure[i + step] and got[i] is not None and len(runs[i]) < 4)
+                left = iter(zip(runs, got, sure))
+                return _RUN.sub(lambda _: _chosen(next(left)), m[0])
 
             new = _LONG.sub(near, text)
             if new != text:

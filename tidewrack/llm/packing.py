@@ -95,7 +95,17 @@ def nnls(pats: list[tuple[tuple[int, int], ...]], hist: np.ndarray, steps: int =
 
 
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Containers as ``({size: times}, repeats)``; every item of the histogram is in one, none above the capacity."""
+    """Containers as ``({size: times}, repeats)``; every item of the histogram is in one, none above the capacity.
+
+    Few items, or sizes that hardly ever add up, can leave so much after rounding that best fit alone needs
+    fewer containers; the smaller plan is taken.
+    """
+    fitted, alone = fit_patterns(hist, capacity), best_fit(hist.astype(np.int64).copy(), capacity)
+    return min((fitted, alone), key=lambda p: sum(n for _, n in p))
+
+
+def fit_patterns(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Fitted and rounded patterns, then best fit for what is left."""
     left = hist.astype(np.int64).copy()
     out: list[tuple[dict[int, int], int]] = []
     pats = patterns(left, capacity)

@@ -68,6 +68,7 @@ WORDING = [
 # The pipeline's own status markers, which are no text.
 MARKERS = ["silent_failure", "parse_error", "rejected", "template_leak"]
 
+SLOT = "\x00slot\x00"
 _SHAPE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()), re.I)
 _TRUSTED = re.compile("|".join([f"(?:{v})" for v in SHAPES.values()]), re.I)
 _WORDED = [re.compile(w, re.I | re.S) for w in WORDING]
@@ -83,7 +84,7 @@ def trusted(text: str) -> bool:
 
 def tokens(passage: str) -> list[str]:
     """Words in lower case, slots by kind, numbers as 0, identifiers as one word."""
-    marked = _SHAPE.sub(lambda m: f" \x00slot\x00 \x00{m.lastgroup}\x00 \x00slot\x00 ", passage)
+    marked = _SHAPE.sub(lambda m: f" {SLOT} \x00{m.lastgroup}\x00 {SLOT} ", passage)
     out = []
     for t in _TOKEN.findall(marked):
         t = t.lower()
@@ -98,6 +99,9 @@ def passages(text: str) -> Iterator[list[str]]:
             continue
         for at in range(0, max(1, len(t) - PASSAGE // 2), PASSAGE // 2):
             yield t[at : at + PASSAGE]
+        # A slot is judged with its neighbours alone as well: the real sentence around it says nothing for it.
+        for at in (i for i, w in enumerate(t) if w == SLOT and t[i - 2 : i - 1] != [SLOT]):
+            yield t[max(0, at - 2) : at + 5]
 
 
 def features(t: list[str]) -> np.ndarray:
@@ -116,7 +120,7 @@ def fit(certain: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> tupl
     fixed: list[bool] = []
     for text in certain:
         got = list(passages(text))
-        sure = [bool(any(x[0] == "\x00" for x in t)) or trusted(" ".join(t)) for t in got]
+        sure = [len(t) <= 7 if SLOT in t else trusted(" ".join(t)) for t in got]
         feats += [features(t) for t in got]
         fixed += sure if any(sure) else [True] * len(got)
     n_certain = sum(fixed)
