@@ -118,6 +118,17 @@ def test_annotation_is_parsed_outside_the_model(spark):
     assert {r.oa_id for r in state.verdict_rows(out, "now").collect()} == {f"W{i}" for i in range(12)}
 
 
+def test_prompts_fit_the_budget(spark):
+    df = works(spark, {"title": "T", "abstract_inverted_index": {f"w{i}": [i] for i in range(50)}, "keywords": ["k"]}, {"title": "short"})
+    full = scoring.prompts(featurize.paper_text(df))
+    words = lambda r: len(r.prompt.split())
+    before = {r.row_no: words(r) for r in full.collect()}
+    after = {r.row_no: r for r in scoring.fit_prompts(full, 30).collect()}
+    assert before[0] > 30 and words(after[0]) == 30 and "w0 w1" in after[0].prompt and after[0].prompt.endswith("KEYWORDS: k")
+    assert words(after[1]) == before[1]
+    assert words(scoring.fit_prompts(full, 1).filter("row_no = 0").first()) == before[0] - 50
+
+
 def test_stages_and_state(spark):
     df = works(spark, {"id": "W1", "updated_date": "1"}, {"id": "W1", "updated_date": "2"}, {"id": "W2", "language": "fr"}, {"id": "W3", "updated_date": ""})
     seen = spark.createDataFrame([], state.STATE)

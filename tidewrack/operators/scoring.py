@@ -7,6 +7,7 @@ partitioning, so pipelines can be run and tested as they are.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,6 +110,46 @@ def prompts(df: DataFrame, name: str = "prompt") -> DataFrame:
     return df.withColumn(name, body)
 
 
+class Tokens(Protocol):
+    """A tokenizer as far as prompts need one."""
+
+    def split(self, text: str) -> list: ...
+    def join(self, tokens: list) -> str: ...
+
+
+@dataclass
+class WordTokens:
+    """Words with the white space before them: splitting and joining gives the text back."""
+
+    def split(self, text: str) -> list[str]:
+        return re.findall(r"\s*\S+|\s+$", text)
+
+    def join(self, tokens: list[str]) -> str:
+        return "".join(tokens)
+
+
+def fit_prompts(df: DataFrame, budget: int, tokens: Tokens | None = None, overhead: int = 0, prompt: str = "prompt", abstract: str = "abstract") -> DataFrame:
+    """Prompts within ``budget`` tokens: the abstract loses exactly what is over, from its end; all else stays.
+
+    ``overhead`` is what the system prompt takes. A prompt that is too long without its abstract keeps none.
+    """
+    t = tokens or WordTokens()
+
+    @F.pandas_udf("string")
+    def cut(prompts_: pd.Series, abstracts: pd.Series) -> pd.Series:
+        out = []
+        for p, a in zip(prompts_.fillna(""), abstracts.fillna("")):
+            over = len(t.split(p)) + overhead - budget
+            if over > 0 and a:
+                kept = t.split(a)
+                p = p.replace(f"ABSTRACT: {a}", f"ABSTRACT: {t.join(kept[: max(0, len(kept) - over)])}", 1)
+            out.append(p)
+        return pd.Series(out, dtype=object)
+
+    short = _apart(df, "_short", cut(F.col(prompt), F.col(abstract)))
+    return short.withColumn(prompt, F.col("_short")).drop("_short")
+
+
 def annotate(df: DataFrame, annotator: Annotator, prompt: str = "prompt", batch: int = 100) -> DataFrame:
     """Adds ``reply`` and, parsed and repaired outside the UDF, ``ai_metadata`` and ``classification``."""
 
