@@ -130,7 +130,7 @@ def wrapped(text: str, lines: list[tuple[int, int]], soft: bool = False) -> bool
     if len(lines) < 2:
         return False
     width = max(y - x for x, y in lines)
-    if width > 120:
+    if not 50 <= width <= 120:
         return False
     if soft:
         return True
@@ -257,7 +257,7 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
             to += 1
         if to >= b:
             break
-        nxt = text[to:b].lstrip(OPENERS)[:1]
+        nxt = first_letters(text, to, b)
         lead = text[to]
         if bare[-1] in "!?؟" or wide:
             bias += 2.0
@@ -267,9 +267,9 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
             bias -= 3.0 if m.start() > a and text[m.start() - 1].isspace() else 0.5
         if lead in ",;:)]}”»/|" or lead in "—–-" and not (to + 1 < b and text[to + 1].isalnum()):
             bias -= 5.0
-        if nxt and nxt.islower() and not flat:
+        if nxt.islower() and not flat:
             bias -= 4.0
-        elif nxt.isupper() and not flat:
+        elif nxt[:1].isupper() and not flat:
             bias += 0.7
         if lead in "“«„「『¿¡(" and stop[-1] not in "”»」』":
             bias += 0.7
@@ -288,8 +288,8 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
                 to += 1
             if at in taken or at <= a or to >= b:
                 continue
-            nxt = text[to:b].lstrip(OPENERS)[:1]
-            out.append(Cut(at, to, 1.5 + (0.0 if flat or not nxt.islower() else -3.0)))
+            if flat or not first_letters(text, to, b).islower():
+                out.append(Cut(at, to, 1.5, "line"))
             taken.add(at)
     if _THAI.search(text, a, b):
         for m in re.finditer(r"(?<=[฀-๿”»\d%)A-Za-z.])\s+(?=[“฀-๿])", text[a:b]):
@@ -302,10 +302,17 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
     out.sort(key=lambda c: c.at)
     start = a
     for c in out:
-        c.end, c.open = closing(text, start, c.at), opening(text, c.to, b)
+        # Words at line ends without a stop are counted apart.
+        c.end, c.open = closing(text, start, c.at) + c.end, opening(text, c.to, b)
     return out
 
 
+def first_letters(text: str, a: int, b: int) -> str:
+    """The first word's beginning without opening marks: all in small letters it begins no sentence."""
+    s = text[a : min(b, a + 12)].lstrip(OPENERS)
+    return s.split()[0] if s.split() else ""
+
+
 def _last_word(text: str, a: int, at: int) -> str:
     s = text[max(a, at - 60) : at].split()
     return s[-1] if s else ""
