@@ -159,6 +159,7 @@ def test_folding(spark):
     assert got == {"x": 98, "Other": 2}
     assert {r.label: r.n for r in reports.bucket_small(counts(spark, ("x", 98), ("y", 1), ("Other", 1)), 1.5).collect()} == {"x": 98, "Other": 2}
     top = reports.top_n_plus_other(counts(spark, ("a", 50), ("b", 30), ("c", 20), ("d", 0)), 2).orderBy("place").collect()
+    assert reports.slice_text(reports.top_n_plus_other(counts(spark, ("a", 1)), 2)).first().text == "a  (100.0%)"
     assert [(r.label, r.n, r.pct) for r in top] == [("a", 50, 50.0), ("b", 30, 30.0), ("Other", 20, 20.0)]
 
 

@@ -26,6 +26,8 @@ def test_gz_lines_keep_their_own_dates(spark, tmp_path):
     files = readers.list_files(spark, f"{tmp_path}/s", "*.gz")
     assert readers.after_date(files, "2024-01-01").count() == 1 and readers.after_date(files, "2024-01-02").count() == 0
     assert readers.first_files(files, 3).count() == 1
+    slots = [r.slot for r in readers.seeded_order(files, 7, 5).collect()]
+    assert slots == [r.slot for r in readers.seeded_order(files.repartition(3), 7, 5).collect()] and 0 <= slots[0] < 5
 
 
 def test_state_lines(spark):

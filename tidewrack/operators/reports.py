@@ -101,6 +101,11 @@ def top_n_plus_other(counts: DataFrame, k: int, min_pct: float = 1.0, other: str
     return shown.withColumn("place", place).withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy()), 1)).select("place", "label", "n", "pct")
 
 
+def slice_text(shares: DataFrame) -> DataFrame:
+    """Adds ``text``, the label with its percentage, to the result of ``top_n_plus_other``."""
+    return shares.withColumn("text", F.format_string("%s  (%.1f%%)", "label", "pct"))
+
+
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 

@@ -223,7 +223,7 @@ def stream_latest(spark, d):
     """The change-log as a file stream through key state, and the latest row of each key."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "works").schema
-    stream = WatermarkStream(spark, f"{d}/works.parquet", schema, f"{base}/out", f"{base}/checkpoint", entity_key(), "updated_date", "publication_year", files_per_batch=4)
+    stream = WatermarkStream(spark, f"{d}/works.parquet", schema, f"{base}/out", f"{base}/checkpoint", entity_key(), "updated_date", "publication_year", files_per_batch=4, ties=("row_no",))
     stream.run()
     return stream.latest().select("key", "updated_date")
 

@@ -133,6 +133,11 @@ def first_files(files: DataFrame, n: int, path: str = "path") -> DataFrame:
     return files.orderBy(path).limit(n)
 
 
+def seeded_order(files: DataFrame, seed: int, slots: int, path: str = "path") -> DataFrame:
+    """Files with a slot that depends on path and seed only: a stable shuffle for samples and shards."""
+    return files.withColumn("slot", F.pmod(F.xxhash64(F.col(path), F.lit(seed)), F.lit(slots)).cast("int"))
+
+
 def with_manifest_key(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("manifest_key", manifest_key(path))
 

@@ -15,17 +15,18 @@ class WatermarkStream:
 
     The checkpoint remembers files, the state table the greatest version of each key. Every batch writes
     its output below ``batch=<id>`` and the state with its id, so a batch that is replayed after a crash
-    overwrites its own output and never moves the state twice.
+    overwrites its own output and never moves the state twice. ``ties`` are columns that decide between
+    equal versions of a key within a batch; of equal versions in two batches the earlier one stays.
     """
 
-    def __init__(self, spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: Column, version: str, year: str | None = None, files_per_batch: int = 1000, fmt: str = "parquet"):
+    def __init__(self, spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: Column, version: str, year: str | None = None, files_per_batch: int = 1000, fmt: str = "parquet", ties: tuple[str, ...] = ()):
         self.spark, self.source, self.schema, self.out, self.checkpoint = spark, source, schema, out.rstrip("/"), checkpoint.rstrip("/")
-        self.key, self.version, self.year, self.files_per_batch, self.fmt = key, version, year, files_per_batch, fmt
+        self.key, self.version, self.year, self.files_per_batch, self.fmt, self.ties = key, version, year, files_per_batch, fmt, ties
         self.state = VersionedTable(spark, f"{self.out}/state", f"{STATE}, batch bigint")
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
         rows = df.withColumn("key", self.key).filter("key IS NOT NULL")
-        best = dedup.latest_per_key(rows, "key", self.version, *[c for c in rows.columns if c in ("row_no", "event_id", "id")][:1])
+        best = dedup.latest_per_key(rows, "key", self.version, *self.ties)
         state = self.state.read()
         # The state before this batch: what the batch itself wrote in an earlier try does not count.
         before = state.filter(F.col("batch") < batch_id)
