@@ -57,9 +57,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def busy(df: DataFrame, *keys: str) -> DataFrame:
     """The input as it is if its scan gives every core a task, else spread over them by key.
 
-    Judged by the plan's size estimate, without running anything; a large input is never shuffled for it.
+    Only a small input of fewer files than cores is spread. Judged by the plan's size estimate, without
+    running anything; a large input is never shuffled for it.
     """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df if size >= task * spark.sparkContext.defaultParallelism else spread(df, *keys)
+    cores = spark.sparkContext.defaultParallelism
+    return spread(df, *keys) if size < task * cores and len(df.inputFiles()) < cores else df
