@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import busy
 
-DIM = 1 << 17
+DIM = 1 << 20
 #: Rounds of dividing the corpus and counting again.
 ROUNDS = 2
 #: A span reaches over so many candidates at most; a longer stretch without any likely end is cut at its best one.
@@ -50,9 +50,11 @@ _MARK = re.compile(r"\s*(?:[-–—•*·‣◦●▪]|(\d{1,3})[.)]|[a-z]\)|\(\
 _TAG = re.compile(r"\s*\[(TITLE|VENUE|KEYWORDS|FIELD|ABSTRACT)\]", re.I)
 _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s+\S")
 _WORD = re.compile(r"\S+")
+# A capital before small letters, not inside a word.
+_CAPITAL = re.compile("(?<![A-Za-z0-9])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁ](?=[a-zà-öø-ÿа-яё’'])")
 _THAI = re.compile("[฀-๿]")
 _NARROW = re.compile("[぀-ヿ㐀-鿿]")
-END, OPEN, PAIR = 1, 2, 3
+END, OPEN = 1, 2
 
 
 def trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -78,18 +80,26 @@ def closing(text: str, a: int, b: int) -> str:
     core = w.rstrip(CLOSERS)
     if _THAI.search(core) or _NARROW.search(core):
         return norm(w[-4:])
-    return norm(w[-16:].lstrip("(["))
+    word = norm(w[-16:].lstrip("(["))
+    if word.rstrip(CLOSERS) in ("0.", "0") and len(s.split()) > 1:
+        # A number alone may be a figure's or a day's: the word before it tells.
+        return f"{norm(s.split()[-2][-12:])} {word}"
+    return word
 
 
-def opening(text: str, a: int, b: int) -> str:
-    """The first word after ``a`` without opening marks; the first characters in scripts without spaces."""
+def opening(text: str, a: int, b: int, flat: bool) -> str:
+    """The first word after ``a`` without opening marks, ``^`` before a capital; the first characters in scripts without spaces.
+
+    In text where capitals say nothing both forms count, marked ``~``.
+    """
     s = text[a : min(b, a + 40)].lstrip().lstrip(OPENERS).lstrip()
     w = s.split()[0] if s.split() else ""
     if _THAI.match(w):
         return w[:5]
     if _NARROW.match(w):
         return w[:2]
-    return norm(w[:16].rstrip(".,;:!?…”»\"'"))
+    word = norm(w[:16].rstrip(".,;:!?…”»\"'"))
+    return ("~" if flat else "^" if w[:1].isupper() else "") + word
 
 
 @dataclass
@@ -135,6 +145,8 @@ def wrapped(text: str, lines: list[tuple[int, int]], soft: bool = False) -> bool
     if soft:
         return True
     for (x, y), (p, q) in zip(lines, lines[1:]):
+        if ends_with_stop(text[x:y]):
+            continue  # a new line after a sentence tells nothing
         if _NARROW.search(text, p, q) or _THAI.search(text, p, q):
             if y - x < 0.9 * width:
                 return False
@@ -248,7 +260,7 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
             before = text[m.start() - 1] if m.start() > a else ""
             if wide:
                 pass
-            elif bare[-1] in ".!?…" and (before.islower() or before in ")”" or before.isdigit() and stop[-1] in ").") and after.isupper() and at + 1 < b and text[at + 1].islower() and not re.search(r"[/_@]|\.\w*\.", _last_word(text, a, at)):
+            elif bare[-1] in ".!?…" and glued(text, m.start(), at, b) and not re.search(r"[/_@]", _last_word(text, a, at)):
                 bias -= 0.5
             else:
                 continue
@@ -267,11 +279,11 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
             bias -= 3.0 if m.start() > a and text[m.start() - 1].isspace() else 0.5
         if lead in ",;:)]}”»/|" or lead in "—–-" and not (to + 1 < b and text[to + 1].isalnum()):
             bias -= 5.0
-        if nxt.islower() and not flat:
+        if nxt.islower() and not flat and lead not in "“«„「『‘":
             bias -= 4.0
         elif nxt[:1].isupper() and not flat:
             bias += 0.7
-        if lead in "“«„「『¿¡(" and stop[-1] not in "”»」』":
+        if lead in "“«„「『‘¿¡(" and stop[-1] not in "”»」』":
             bias += 0.7
         if stop[-1] in "”»」』“":
             bias -= 0.7
@@ -303,10 +315,17 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
     start = a
     for c in out:
         # Words at line ends without a stop are counted apart.
-        c.end, c.open = closing(text, start, c.at) + c.end, opening(text, c.to, b)
+        c.end, c.open = closing(text, start, c.at) + c.end, opening(text, c.to, b, flat)
     return out
 
 
+def glued(text: str, stop: int, at: int, b: int) -> bool:
+    """A stop after a word or number with the next sentence's capital right behind it."""
+    before = text[max(0, stop - 2) : stop]
+    word = before[-1:].islower() or before[-1:] in ")”" or before[-1:].isdigit() or (len(before) == 2 and before[0].islower())
+    return word and text[at].isupper() and at + 1 < b and text[at + 1].islower()
+
+
 def first_letters(text: str, a: int, b: int) -> str:
     """The first word's beginning without opening marks: all in small letters it begins no sentence."""
     s = text[a : min(b, a + 12)].lstrip(OPENERS)
@@ -319,15 +338,22 @@ def _last_word(text: str, a: int, at: int) -> str:
 
 
 def is_flat(text: str) -> bool:
-    """Whether capitals say nothing: text all in small or all in capital letters."""
+    """Whether capitals say nothing: no word or hardly a sentence begins with one, or most letters are capitals."""
     letters = [c for c in text if c.isupper() or c.islower()]
     up = sum(c.isupper() for c in letters)
-    if not letters or up < 0.004 * len(letters) or up > 0.6 * len(letters):
+    if not letters or up > 0.6 * len(letters):
+        return True
+    if up < 0.004 * len(letters) or not _CAPITAL.search(text):
         return True
     after = re.findall(r"[^\W\d_]{2}[.!?][”»)]?\s+[“«(¿¡]?([^\W\d_])", text)
     return len(after) >= 3 and sum(c.islower() for c in after) >= 0.7 * len(after)
 
 
+def flat_block(text: str, block: Block) -> bool:
+    """As ``is_flat`` for one block that is long enough to tell: a document may join two texts."""
+    return block.end - block.start >= 60 and is_flat(text[block.start : block.end])
+
+
 class Table:
     """Counts of words at sentence ends and starts against all their candidates, as hashed tables."""
 
@@ -336,6 +362,10 @@ class Table:
 
     def odds(self, kind: int, word: str, prior: float) -> float:
         """Log odds that a boundary is at a candidate with this word, little-seen words leaning to the prior."""
+        if word[:1] == "~":
+            # Small and capital form together, and what flat text itself shows.
+            bare = word[1:]
+            return (self.odds(kind, bare, prior) + self.odds(kind, "^" + bare, prior) + 2 * self.odds(kind, "=" + bare, prior)) / 2
         key = (kind, word, prior)
         got = self.memo.get(key)
         if got is None:
@@ -362,7 +392,7 @@ def shape_prior(word: str) -> float:
             return 0.04
         if "." in bare:
             return 0.3
-        return 0.5 if len(bare) <= 3 else 0.8
+        return 0.5 if len(bare) <= 3 else 0.9
     return 0.85
 
 
@@ -370,7 +400,7 @@ def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
     """Indices of the cuts that the best division uses."""
     n = len(cuts)
     for c in cuts:
-        c.score = c.bias + table.odds(END, c.end, shape_prior(c.end)) + table.odds(OPEN, c.open, 0.5) + 0.5 * table.odds(PAIR, f"{c.end} {c.open}", 0.5)
+        c.score = c.bias + table.odds(END, c.end, shape_prior(c.end)) + table.odds(OPEN, c.open, 0.5)
     if not n:
         return []
     starts = [block.start, *(c.to for c in cuts)]
@@ -419,7 +449,7 @@ def sentences(text: str | None, table: Table) -> list[tuple[int, int]]:
         if block.whole:
             out.append(trim(text, block.start, block.end))
             continue
-        cuts = candidates(text, block, flat)
+        cuts = candidates(text, block, flat or flat_block(text, block))
         at = block.start
         for k in divide(text, block, cuts, table):
             out.append(trim(text, at, cuts[k].at))
@@ -437,21 +467,19 @@ def observe(text: str, table: Table | None, yes: np.ndarray, all_: np.ndarray, e
     for block in layout(text):
         if block.whole:
             continue
-        cuts = candidates(text, block, flat)
+        low = flat or flat_block(text, block)
+        cuts = candidates(text, block, low)
         used = set() if table is None else set(divide(text, block, cuts, table))
         for k, c in enumerate(cuts):
-            words = [(END, c.end), (OPEN, c.open)]
-            if table is not None:
-                words.append((PAIR, f"{c.end} {c.open}"))
-            for kind, word in words:
-                p = place(kind, word)
+            for kind, word in ((END, c.end), (OPEN, c.open)):
+                p = place(kind, word.replace("~", "=", 1) if word[:1] == "~" else word)
                 all_[p] += 1
                 if k in used:
                     yes[p] += 1
         if table is None:
             a, b = trim(text, block.start, block.end)
-            for kind, word in ((END, closing(text, a, b)), (OPEN, opening(text, a, b))):
-                p = place(kind, word)
+            for kind, word in ((END, closing(text, a, b)), (OPEN, opening(text, a, b, low))):
+                p = place(kind, word.replace("~", "=", 1) if word[:1] == "~" else word)
                 all_[p] += 1
                 yes[p] += 1
             ends[0] += 1
