@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import busy
@@ -29,6 +30,8 @@ DIM = 1 << 20
 ROUNDS = 2
 #: A span reaches over so many candidates at most; a longer stretch without any likely end is cut at its best one.
 REACH = 60
+#: A score that outweighs everything that the spans on both sides of a cut can lose.
+SURE = 8.0
 #: Share of sentence ends that are paragraph ends, before anything is counted.
 BASE = 0.2
 
@@ -52,6 +55,8 @@ _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s+\S")
 _WORD = re.compile(r"\S+")
 # A capital before small letters, not inside a word.
 _CAPITAL = re.compile("(?<![A-Za-z0-9])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁ](?=[a-zà-öø-ÿа-яё’'])")
+_UPPER, _LOWER = regex.compile(r"\p{Lu}+").findall, regex.compile(r"\p{Ll}+").findall
+_AFTER = re.compile(r"[^\W\d_]{2}[.!?][”»)]?\s+[“«(¿¡]?([^\W\d_])").findall
 _THAI = re.compile("[฀-๿]")
 _NARROW = re.compile("[぀-ヿ㐀-鿿]")
 END, OPEN = 1, 2
@@ -339,13 +344,10 @@ def _last_word(text: str, a: int, at: int) -> str:
 
 def is_flat(text: str) -> bool:
     """Whether capitals say nothing: no word or hardly a sentence begins with one, or most letters are capitals."""
-    letters = [c for c in text if c.isupper() or c.islower()]
-    up = sum(c.isupper() for c in letters)
-    if not letters or up > 0.6 * len(letters):
+    up, low = sum(map(len, _UPPER(text))), sum(map(len, _LOWER(text)))
+    if up >= 1.5 * low or up < 0.004 * (up + low) or not _CAPITAL.search(text):
         return True
-    if up < 0.004 * len(letters) or not _CAPITAL.search(text):
-        return True
-    after = re.findall(r"[^\W\d_]{2}[.!?][”»)]?\s+[“«(¿¡]?([^\W\d_])", text)
+    after = _AFTER(text)
     return len(after) >= 3 and sum(c.islower() for c in after) >= 0.7 * len(after)
 
 
@@ -431,6 +433,9 @@ def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
             v = best[i] + span + (cuts[j].score if j < n else 0.0)
             if v > best[j + 1]:
                 best[j + 1], back[j + 1] = v, i
+            # Past a sure end with nothing open no longer span can win: it would lose more than any span can.
+            if j < n and cuts[j].score > SURE and not open_ and not straight:
+                break
     out, j = [], n + 1
     while j > 0:
         j = back[j]
