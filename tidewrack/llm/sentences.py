@@ -55,8 +55,12 @@ _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s+\S")
 _WORD = re.compile(r"\S+")
 # A capital before small letters, not inside a word.
 _CAPITAL = re.compile("(?<![A-Za-z0-9])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁ](?=[a-zà-öø-ÿа-яё’'])")
+_DIGITS = re.compile(r"\d+").sub
+_BIG, _SMALL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _UPPER, _LOWER = regex.compile(r"\p{Lu}+").findall, regex.compile(r"\p{Ll}+").findall
-_AFTER = re.compile(r"[^\W\d_]{2}[.!?][”»)]?\s+[“«(¿¡]?([^\W\d_])").findall
+_AFTER = re.compile(r"[.!?](?<=[^\W\d_][^\W\d_][.!?])[”»)]?\s+[“«(¿¡]?([^\W\d_])").findall
+_BEYOND = re.compile(r"[^\x00-\x7f]+").findall
+_MARKS = re.compile(f'["{re.escape("".join(sorted(_PAIRED)))}]').findall
 _THAI = re.compile("[฀-๿]")
 _NARROW = re.compile("[぀-ヿ㐀-鿿]")
 END, OPEN = 1, 2
@@ -71,7 +75,7 @@ def trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def norm(word: str) -> str:
-    return re.sub(r"\d+", "0", word.lower())
+    return _DIGITS("0", word.lower())
 
 
 def place(kind: int, word: str) -> int:
@@ -80,15 +84,15 @@ def place(kind: int, word: str) -> int:
 
 def closing(text: str, a: int, b: int) -> str:
     """The last word before ``b``, with its stop; the last characters in scripts without spaces."""
-    s = text[max(a, b - 40) : b]
-    w = s.split()[-1] if s.split() else ""
+    words = text[max(a, b - 40) : b].rsplit(None, 2)
+    w = words[-1] if words else ""
     core = w.rstrip(CLOSERS)
     if _THAI.search(core) or _NARROW.search(core):
         return norm(w[-4:])
     word = norm(w[-16:].lstrip("(["))
-    if word.rstrip(CLOSERS) in ("0.", "0") and len(s.split()) > 1:
+    if word[:1] == "0" and len(words) > 1 and word.rstrip(CLOSERS) in ("0.", "0"):
         # A number alone may be a figure's or a day's: the word before it tells.
-        return f"{norm(s.split()[-2][-12:])} {word}"
+        return f"{norm(words[-2][-12:])} {word}"
     return word
 
 
@@ -97,8 +101,8 @@ def opening(text: str, a: int, b: int, flat: bool) -> str:
 
     In text where capitals say nothing both forms count, marked ``~``.
     """
-    s = text[a : min(b, a + 40)].lstrip().lstrip(OPENERS).lstrip()
-    w = s.split()[0] if s.split() else ""
+    s = text[a : min(b, a + 40)].lstrip().lstrip(OPENERS).split(None, 1)
+    w = s[0] if s else ""
     if _THAI.match(w):
         return w[:5]
     if _NARROW.match(w):
@@ -333,8 +337,8 @@ def glued(text: str, stop: int, at: int, b: int) -> bool:
 
 def first_letters(text: str, a: int, b: int) -> str:
     """The first word's beginning without opening marks: all in small letters it begins no sentence."""
-    s = text[a : min(b, a + 12)].lstrip(OPENERS)
-    return s.split()[0] if s.split() else ""
+    s = text[a : min(b, a + 12)].lstrip(OPENERS).split(None, 1)
+    return s[0] if s else ""
 
 
 def _last_word(text: str, a: int, at: int) -> str:
@@ -342,9 +346,19 @@ def _last_word(text: str, a: int, at: int) -> str:
     return s[-1] if s else ""
 
 
+def cases(text: str) -> tuple[int, int]:
+    """Numbers of capital and small letters."""
+    raw = text.encode("utf-8", "surrogatepass")
+    up, low = len(raw) - len(raw.translate(None, _BIG)), len(raw) - len(raw.translate(None, _SMALL))
+    if len(raw) > len(text):
+        rest = "".join(_BEYOND(text))
+        up, low = up + sum(map(len, _UPPER(rest))), low + sum(map(len, _LOWER(rest)))
+    return up, low
+
+
 def is_flat(text: str) -> bool:
     """Whether capitals say nothing: no word or hardly a sentence begins with one, or most letters are capitals."""
-    up, low = sum(map(len, _UPPER(text))), sum(map(len, _LOWER(text)))
+    up, low = cases(text)
     if up >= 1.5 * low or up < 0.004 * (up + low) or not _CAPITAL.search(text):
         return True
     after = _AFTER(text)
@@ -408,7 +422,7 @@ def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
     starts = [block.start, *(c.to for c in cuts)]
     stops = [*(c.at for c in cuts), block.end]
     # Marks between neighbouring candidates, so that a span's balance is a sum of its pieces.
-    pieces = [[c for c in text[starts[i] : stops[i]] if c in _PAIRED or c == '"'] for i in range(n + 1)]
+    pieces = [_MARKS(text[starts[i] : stops[i]]) for i in range(n + 1)]
     best, back = [0.0] + [-math.inf] * (n + 1), [0] * (n + 2)
     for i in range(n + 1):
         if best[i] == -math.inf:
