@@ -169,9 +169,9 @@ class Model:
 
     def _repair(self, text: str) -> tuple[bool, str]:
         bad = False
-        for _ in range(3):  # a text may be damaged more than once
-            new = self._legacy(self._sequences(self._shifted(text)))
-            if new == text:
+        for _ in range(4):  # a text may be damaged more than once
+            new = self._sequences(self._shifted(text))
+            if new == text and (new := self._legacy(text)) == text:
                 break
             bad, text = True, new
         left = any(c == "\ufffd" or ("\x80" <= c <= "\x9f" and c != "\x85") for c in text) or any(self._broken(m[0]) for m in _RUN.finditer(text))
@@ -263,12 +263,14 @@ class Model:
         """Text of a charset other than UTF-8: the whole, or runs of four or more and the short ones beside them."""
         if not _FOUR.search(text):
             return text
+        best, most = text, -1.0
         for meant, wrong, _ in self.moves:
             if meant in ("utf-8", "utf-7"):
                 continue
             # Charsets of two bytes also use ASCII bytes, so there the whole is read if it looks foreign at all.
-            if meant in WIDE and sum(map(len, _RUN.findall(text))) >= max(4, 0.4 * len(text)) and (got := self._foreign(text, meant, wrong)):
-                return got
+            new = None
+            if meant in WIDE and sum(map(len, _RUN.findall(text))) >= max(4, 0.4 * len(text)):
+                new = self._foreign(text, meant, wrong)
 
             def near(m: re.Match, meant: str = meant, wrong: str = wrong) -> str:
                 """Long runs that decode, and the short words beside one: it convicts its neighbours."""
@@ -282,10 +284,15 @@ class Model:
                 left = iter(zip(runs, got, sure))
                 return _RUN.sub(lambda _: _chosen(next(left)), m[0])
 
-            new = _LONG.sub(near, text)
-            if new != text:
-                return new
-        return text
+            new = new or _LONG.sub(near, text)
+            # Several charsets may read a run as known characters; the one that gives the commonest is meant.
+            if new != text and (mean := self._commonness(new)) > most:
+                best, most = new, mean
+        return best
+
+    def _commonness(self, text: str) -> float:
+        strange = [math.log1p(self.chars.get(c, 0)) for c in text if not c.isascii()]
+        return sum(strange) / len(strange) if strange else 0.0
 
     def _foreign(self, text: str, meant: str, wrong: str) -> str | None:
         """The text under the charset meant, if that gives known characters of another script only."""

@@ -52,7 +52,6 @@ _ITEM = re.compile(r"\s*(?:[-–—•*·‣◦●▪]|\d{1,3}[.)]|[a-z]\)|\(\w{
 _MARK = re.compile(r"\s*(?:[-–—•*·‣◦●▪]|(\d{1,3})[.)]|[a-z]\)|\(\w{1,3}\))\s")
 _TAG = re.compile(r"\s*\[(TITLE|VENUE|KEYWORDS|FIELD|ABSTRACT)\]", re.I)
 _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s+\S")
-_WORD = re.compile(r"\S+")
 # A capital before small letters, not inside a word.
 _CAPITAL = re.compile("(?<![A-Za-z0-9])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁ](?=[a-zà-öø-ÿа-яё’'])")
 _DIGITS = re.compile(r"\d+").sub
