@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewrack.llm import residue as R
 
@@ -38,3 +40,21 @@ def test_nothing_certain_gives_nothing():
     odds, prior = R.fit([], REAL)
     assert not odds.any() and R.score_text(REAL[0], odds, prior) < 0
     assert R.score_text(None, odds, prior) is None and R.score_text("", odds, prior) is None
+
+
+def test_fit_sees_every_row(spark):
+    n = 90_000
+    bad = F.element_at(F.array(*map(F.lit, BAD)), (F.col("id") % len(BAD) + 1).cast("int"))
+    real = F.concat(F.lit("trills of marsh birds "), F.col("id").cast("string"))
+    df = spark.range(n).select(F.when(F.col("id") % 90 == 0, bad).otherwise(real).alias("summary"))
+    odds, prior = R.train(df, "summary")
+    texts = [r.summary for r in df.collect()]
+    all_odds, all_prior = R.fit([t for t in texts if R.trusted(t)], [t for t in texts if not R.trusted(t)])
+    assert prior == pytest.approx(all_prior, abs=1e-4) and np.allclose(odds, all_odds, atol=1e-3)
+    again = R.train(df.repartition(7, "summary"), "summary")
+    assert again[1] == prior and (again[0] == odds).all()
+
+
+def test_nothing_certain_in_a_table(spark):
+    odds, prior = R.train(spark.createDataFrame([(t,) for t in REAL], "summary string"), "summary")
+    assert not odds.any() and prior == -1.0

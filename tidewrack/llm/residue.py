@@ -5,7 +5,8 @@ Expectation-maximization gives every passage of the unlabelled records a weight
 frequencies until they settle. A record is residue if any of its passages is: one left-over sentence
 beside real ones is enough.
 
-The model is a table of DIM log odds, fitted on a bounded hash sample of the rows and applied to all.
+The model is a table of DIM log odds. Every row counts in it and in the prior: the passages are laid out as
+numbers once, then each round is a pass over them in which every task adds up a table of its own.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import py_strip
-from ..session import busy
+from ..session import busy, cut
 
 #: Length of the table of log odds; words share a place by hash.
 DIM = 1 << 18
-#: Rows that the fit sees: trusted ones and unlabelled ones at most, taken by hash of the text.
-MOST_TRUSTED, MOST_UNLABELLED = 20_000, 60_000
 ROUNDS = 6
+#: Weights are added up as whole numbers of this fraction: the sums depend on no order.
+UNIT = 2.0**-28
+#: Places of the features that a stored row of passages holds, about.
+CHUNK = 1 << 18
 #: A passage is at most so many tokens long; longer sentences are cut into overlapping ones.
 PASSAGE = 16
 #: A single word or pair may not weigh more than this.
@@ -111,39 +115,53 @@ def features(t: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(x.encode()) & (DIM - 1) for x in sorted(said)), dtype=np.int64)
 
 
-def fit(certain: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """``(log odds, prior)`` by expectation-maximization; all zero when nothing is certain.
+def example(text: str, sure: bool) -> tuple[list[np.ndarray], list[bool]]:
+    """A record's passages as features, and which of them are certain.
 
     Of a certain record those passages are certain that hold a trusted pattern, or all if only the whole does.
     """
+    got = list(passages(text))
+    feats = [features(t) for t in got]
+    if not sure:
+        return feats, [False] * len(got)
+    held = [len(t) <= 7 if SLOT in t else trusted(" ".join(t)) for t in got]
+    return feats, held if any(held) else [True] * len(got)
+
+
+def odds_of(pos: np.ndarray, seen: np.ndarray, weight: float, n: int) -> tuple[np.ndarray, float]:
+    """``(log odds, prior)`` of each feature's weight and count, over passages of so much weight and number."""
+    neg = seen - pos
+    np_, nn = weight + 1, n - weight + 1
+    # A word seen in neither class says nothing.
+    odds = np.where(seen > 0, np.log((pos + 0.1) / (np_ + 0.2)) - np.log((neg + 0.1) / (nn + 0.2)), 0.0)
+    return np.clip(odds, -CAP, CAP), float(np.log(np_ / nn))
+
+
+def expect(row: np.ndarray, col: np.ndarray, fix: np.ndarray, model: tuple[np.ndarray, float] | None) -> np.ndarray:
+    """Each passage's weight under a model; before there is one only certain passages weigh."""
+    if model is None:
+        return fix.astype(float)
+    score = np.bincount(row, weights=model[0][col], minlength=len(fix)) / 2 + model[1]
+    return np.where(fix, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
+
+
+def fit(certain: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """``(log odds, prior)`` by expectation-maximization; all zero when nothing is certain."""
     feats: list[np.ndarray] = []
     fixed: list[bool] = []
-    for text in certain:
-        got = list(passages(text))
-        sure = [len(t) <= 7 if SLOT in t else trusted(" ".join(t)) for t in got]
-        feats += [features(t) for t in got]
-        fixed += sure if any(sure) else [True] * len(got)
-    n_certain = sum(fixed)
-    for text in unlabelled:
-        for t in passages(text):
-            feats.append(features(t))
-            fixed.append(False)
-    if not n_certain or not feats:
+    for text, sure in [(t, True) for t in certain] + [(t, False) for t in unlabelled]:
+        f, x = example(text, sure)
+        feats += f
+        fixed += x
+    if not any(fixed):
         return np.zeros(DIM, dtype=np.float32), -1.0
     fix = np.array(fixed)
     row, col = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.concatenate(feats)
-    weight = fix.astype(float)
-    odds, prior = np.zeros(DIM), 0.0
+    seen = np.bincount(col, minlength=DIM)
+    weight = expect(row, col, fix, None)
     for _ in range(rounds):
-        pos = np.bincount(col, weights=weight[row], minlength=DIM)
-        neg = np.bincount(col, minlength=DIM) - pos
-        np_, nn = weight.sum() + 1, len(feats) - weight.sum() + 1
-        # A word seen in neither class says nothing.
-        odds = np.where(pos + neg > 0, np.log((pos + 0.1) / (np_ + 0.2)) - np.log((neg + 0.1) / (nn + 0.2)), 0.0)
-        odds = np.clip(odds, -CAP, CAP)
-        prior = float(np.log(np_ / nn))
-        score = np.bincount(row, weights=odds[col], minlength=len(feats)) / 2 + prior
-        new = np.where(fix, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
+        odds, prior = odds_of(np.bincount(col, weights=weight[row], minlength=DIM), seen, weight.sum(), len(feats))
+        new = expect(row, col, fix, (odds, prior))
         if np.abs(new - weight).max() < 1e-3:
             break
         weight = new
@@ -164,17 +182,74 @@ def eligible(c: Column | str) -> Column:
     return F.coalesce((s != "") & ~s.isin(MARKERS), F.lit(False))
 
 
-def train(df: DataFrame, text: str) -> tuple[np.ndarray, float]:
-    """Fit on the hash sample of the eligible rows."""
+def lay_out(df: DataFrame, text: str) -> DataFrame:
+    """The passages of all eligible rows as numbers: rows ``(cols, sizes, fixed)`` of many passages each, packed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feats: list[np.ndarray] = []
+        fixed: list[bool] = []
+        n = 0
+
+        def packed() -> pa.RecordBatch:
+            parts = np.concatenate(feats).astype("<i4"), np.array([len(f) for f in feats], dtype="<i4"), np.array(fixed, dtype=bool)
+            return pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in parts], names=["cols", "sizes", "fixed"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                f, x = example(t, trusted(t))
+                feats += f
+                fixed += x
+                n += sum(map(len, f))
+                if n >= CHUNK:
+                    yield packed()
+                    feats, fixed, n = [], [], 0
+        if feats:
+            yield packed()
+
     base = df.filter(eligible(text)).select(F.col(text).alias("t"))
+    return cut(busy(base, "t").mapInArrow(work, "cols binary, sizes binary, fixed binary"))
 
-    @F.pandas_udf("boolean")
-    def sure(s: pd.Series) -> pd.Series:
-        return s.map(trusted)
 
-    marked = base.withColumn("sure", sure("t")).withColumn("h", F.xxhash64("t"))
-    take = lambda flag, n: [r.t for r in marked.filter(F.col("sure") == flag).orderBy("h", "t").limit(n).collect()]
-    return fit(take(True, MOST_TRUSTED), take(False, MOST_UNLABELLED))
+def add_up(laid: DataFrame, model: tuple[np.ndarray, float] | None, before: tuple[np.ndarray, float] | None) -> np.ndarray:
+    """Sums over all passages: weight of each feature, count of each, then all weight, passages, passages whose weight moved."""
+    shared = laid.sparkSession.sparkContext.broadcast((model, before))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, before = shared.value
+        sums = np.zeros(2 * DIM + 3, dtype=np.int64)
+        for b in batches:
+            for cells in zip(*(c.to_pylist() for c in b.columns)):
+                col, sizes, fix = (np.frombuffer(zlib.decompress(x), dtype=k) for x, k in zip(cells, ("<i4", "<i4", bool)))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                weight = expect(row, col, fix, model)
+                whole = np.rint(weight / UNIT)
+                sums[:DIM] += np.bincount(col, weights=whole[row], minlength=DIM).astype(np.int64)
+                sums[DIM : 2 * DIM] += np.bincount(col, minlength=DIM)
+                moved = (np.abs(weight - expect(row, col, fix, before)) >= 1e-3).sum() if model else len(fix)
+                sums[2 * DIM :] += np.array([int(whole.sum()), len(fix), int(moved)])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
+
+    got = laid.mapInArrow(work, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    sums = np.zeros(2 * DIM + 3, dtype=np.int64)
+    sums[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    return sums
+
+
+def train(df: DataFrame, text: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """``fit`` on all eligible rows, those that trusted patterns mark being the certain ones."""
+    laid = lay_out(df, text)
+    model = before = None
+    for _ in range(rounds):
+        sums = add_up(laid, model, before)
+        weight, n, moved = (int(x) for x in sums[2 * DIM :])
+        if not weight:
+            return np.zeros(DIM, dtype=np.float32), -1.0
+        if not moved:
+            break
+        before, model = model, odds_of(sums[:DIM] * UNIT, sums[DIM : 2 * DIM], weight * UNIT, n)
+    return model[0].astype(np.float32), model[1]
 
 
 def score(df: DataFrame, key: str, text: str, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
