@@ -60,3 +60,15 @@ def test_lossy_words(spark):
     df = spark.createDataFrame(rows, "row_no bigint, title string")
     got = E.find_lossy(df, "row_no", {"title": E.strange_text("title")}, model()).collect()
     assert [(r.row_no, r.restored) for r in got] == [(99, ["Río"])]
+
+
+def test_copies_of_a_damaged_text_weigh_one(spark):
+    kind = "row_no bigint, title string, abstract_inverted_index map<string,array<int>>"
+    rows = [(i, f"the Río Velado {i}", {"Bahía": [0], f"site{i}": [1]}) for i in range(9)]
+    rows += [(100 + i, "the RÃo Velado", {"BahÃa": [0], "again": [1]}) for i in range(40)]
+    # A form as common in texts as the clean word is a word of its own.
+    rows += [(200 + i, f"{w} {i}", None) for w in ("caído", "caÃdo") for i in range(9)]
+    df = spark.createDataFrame(rows, kind)
+    fields = {"title": E.strange_text("title"), "abstract_inverted_index": E.strange_words("abstract_inverted_index")}
+    got = E.find_lossy(df, "row_no", fields, model(), {"abstract_inverted_index": E.whole_index("abstract_inverted_index")}).collect()
+    assert sorted((r.row_no, r.field_name, *r.restored) for r in got) == sorted(x for i in range(100, 140) for x in [(i, "title", "Río"), (i, "abstract_inverted_index", "Bahía")])

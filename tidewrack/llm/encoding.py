@@ -387,6 +387,11 @@ def strange_words(c: Column | str) -> Column:
     return F.filter(F.coalesce(F.map_keys(c), F.array().cast("array<string>")), lambda w: w.rlike(STRANGE))
 
 
+def whole_index(c: Column | str) -> Column:
+    """An inverted index as a value that can be compared."""
+    return F.array_sort(F.map_entries(c))
+
+
 def strange_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(c.rlike(STRANGE), F.array(c)).otherwise(F.array().cast("array<string>"))
@@ -397,20 +402,23 @@ def tokens_of(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]*(?:[^\x00-\x7f\s][A-Za-z0-9]*)+"), 0), lambda w: F.length(F.regexp_replace(w, r"[^\x00-\x7f]", "")) >= 2)
 
 
-def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model) -> DataFrame:
+def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model, whole: dict[str, Column] | None = None) -> DataFrame:
     """``(key, field_name, restored)`` where words lost invisible characters after they were wrongly decoded.
 
     Such a word can't be decoded any more. It is found as what a learned transformation makes of a common
-    clean word once control characters and soft hyphens are gone.
+    clean word once control characters and soft hyphens are gone, and at most a quarter as frequent, in rows or
+    in different texts: copies of one damaged text weigh one. ``whole`` gives the texts of those fields whose
+    column has only some of their words.
     """
     kind = df.schema[key].dataType.simpleString()
     moves = [w for m, w, t in model.moves if m == "utf-8" and t == 1]
     each = None
     for f, c in fields.items():
-        one = df.select(key, F.lit(f).alias("field_name"), F.explode(F.flatten(F.transform(c, tokens_of))).alias("word"))
+        own = F.xxhash64(F.lit(f), (whole or {}).get(f, c))
+        one = df.filter(F.size(c) > 0).select(key, F.lit(f).alias("field_name"), own.alias("own"), F.explode(F.flatten(F.transform(c, tokens_of))).alias("word"))
         each = one if each is None else each.unionAll(one)
     each = cut(each)
-    common = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    common = each.groupBy("word", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -423,8 +431,7 @@ def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model)
                         rows.add((left, word))
             yield pd.DataFrame(sorted(rows), columns=["word", "meant"])
 
-    clean = common.filter(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), "n")
-    made = spread(clean.select("meant"), "meant").mapInPandas(forms, "word string, meant string").join(clean, "meant")
-    best = made.groupBy("word").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant"), F.max("n").alias("m"))
-    rare = best.join(common, "word").filter(F.col("n") * 4 <= F.col("m")).select("word", "meant")
+    clean = common.filter(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("texts").alias("clean_texts"))
+    made = spread(clean.select("meant"), "meant").mapInPandas(forms, "word string, meant string").join(clean, "meant").join(common, "word")
+    rare = made.filter((F.col("n") * 4 <= F.col("m")) | (F.col("texts") * 4 <= F.col("clean_texts"))).groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
     return each.join(rare, "word").groupBy(key, "field_name").agg(F.sort_array(F.collect_set("meant")).alias("restored")).select(F.col(key).cast(kind), "field_name", "restored")
