@@ -72,3 +72,20 @@ def test_table_with_odd_rows(spark):
     got = {r.text: [p.lang for p in r.parts] for r in L.judge_texts(df, "title", model).collect()}
     assert got == {TEXT["de"][0]: ["de"], "the calls " * 3000: ["en"]}
     assert L.judge_texts(df.limit(0), "title", model).count() == 0
+
+
+def test_confidence_depends_on_the_text_only(judge):
+    texts = [t for v in TEXT.values() for t in v] + ["the calls of wolves; die Rufe der Wölfe im Wald", "la voz del wolf", "Rhamanyx борescens in the forest"]
+    for text in texts:
+        got = set()
+        for last in ["", *judge.by]:
+            judge.last = last
+            got.add(tuple(judge.parts(text)))
+        assert len(got) == 1
+        (_, _, lang, sure), *more = got.pop()
+        if not more:
+            said = L.essence(L.plain(text))
+            letters = {c for c in said if c.isalpha()}
+            able = [a for a in judge.by if len(letters & judge.by[a].chars) >= 0.7 * len(letters)] or list(judge.by)
+            bits = sorted(judge.by[x].phrases(said, 10**9) * judge.by[x].bits for x in able)
+            assert sure == (pytest.approx(1 - bits[0] / bits[1], abs=1e-4) if len(bits) > 1 else 1.0)

@@ -160,7 +160,7 @@ class Judge:
         self.by = {lang: Automaton("\n".join(t)[:MOST_CHARS]) for lang, t in sorted(texts.items()) if t}
 
     def rank(self, text: str) -> list[tuple[float, str]]:
-        """``(bits a character, language)``, best first; those far from the best may be left out."""
+        """``(bits a character, language)``, best first; for those far from the best the bits are a bound from below."""
         text = essence(text)
         if not text or not self.by:
             return []
@@ -177,6 +177,21 @@ class Judge:
         self.last = out[0][1]
         return out
 
+    def confidence(self, text: str, ranked: list[tuple[float, str]]) -> float:
+        """How far the winner is ahead of the second, from 0 to 1; 1 with no second.
+
+        The second is parsed to its end: which languages were broken off, and where, depends on the order of trial.
+        """
+        if len(ranked) < 2:
+            return 1.0
+        text, second = essence(text), math.inf
+        for bits, lang in ranked[1:]:
+            if bits * len(text) > second:
+                break  # bounds from below: the others need more
+            a = self.by[lang]
+            second = min(second, a.phrases(text, second / a.bits) * a.bits)
+        return round(1 - ranked[0][0] * len(text) / second, 4) if second else 0.0
+
     def holds(self, text: str, lang: str) -> bool:
         """Whether no language needs fewer bits than this one for the text."""
         text = essence(text)
@@ -207,10 +222,10 @@ class Judge:
             sure = min(other(a, b[0][1]) / a[0][0], other(b, a[0][1]) / b[0][0])
             total = a[0][0] * len(left) + b[0][0] * len(right)
             if sure >= MARGIN and (best is None or total < best[0]):
-                best = total, (0, m.start(), a[0][1], confidence(a)), (m.end(), len(text), b[0][1], confidence(b))
+                best = total, (0, m.start(), a[0][1], x, a), (m.end(), len(text), b[0][1], y, b)
         if best:
-            return [best[1], best[2]]
-        return [(0, len(text), one[0][1], confidence(one))]
+            return [(start, end, lang, self.confidence(x, ranked)) for start, end, lang, x, ranked in best[1:]]
+        return [(0, len(text), one[0][1], self.confidence(plain(text), one))]
 
 
 def other(ranked: list[tuple[float, str]], lang: str) -> float:
@@ -218,11 +233,6 @@ def other(ranked: list[tuple[float, str]], lang: str) -> float:
     return next((b for b, x in ranked if x == lang), 2 * ranked[-1][0])
 
 
-def confidence(ranked: list[tuple[float, str]]) -> float:
-    """How far the winner is ahead of the second, from 0 to 1; 1 with no second."""
-    return 1.0 if len(ranked) < 2 else round(1 - ranked[0][0] / ranked[1][0], 4) if ranked[1][0] else 0.0
-
-
 def essence(text: str) -> str:
     """The text without Latin words when another script carries it: names of species and places in it count for nothing."""
     others = 0 if text.isascii() else sum(c.isalpha() and ord(c) > 0x24F for c in text)
