@@ -45,7 +45,7 @@ def test_ties_and_empty_lists(spark):
 @given(st.lists(st.text("abcd", min_size=3, max_size=9), min_size=1, max_size=12, unique=True), st.lists(st.text("abcd", min_size=3, max_size=9), min_size=1, max_size=12, unique=True), st.sampled_from([0.3, 0.5, 0.8]))
 def test_join_finds_all_similar_pairs(spark, left, right, t):
     def table(xs):
-        return spark.createDataFrame([(x, "k") for x in xs], "id string, kind string").withColumn("tokens", C.pairs_of(F.col("id")))
+        return spark.createDataFrame([(x, "k") for x in xs], "id string, kind string").withColumn("tokens", C.pieces_of(F.col("id"), 2))
 
     def pairs(x):
         s = f"^{x}$"
@@ -56,5 +56,27 @@ def test_join_finds_all_similar_pairs(spark, left, right, t):
     assert got == {k: v for k, v in want.items() if v >= t - 1e-9}
 
 
+def test_short_and_long_names(spark):
+    ref = [(1, "Ide", "Lo tri", ["old grey bat of the far north fells"]), (2, "Grey bat", "Vesta grisa", []), (3, "bat", "Vesta parva", [])]
+    want = {"ide": 1, "IDE": 1, "ida": None, "two ides": 1, "old grey bat of the far north fells": 1, "old grey bat of the far nroth fells": 1, "grey bats": 2, "a bat": 3, "grey bta": 2, "bat or ide": None}
+    assert mapped(spark, list(want), reference(spark, ref)) == want
+
+
+def test_a_list_of_100_000_names(spark):
+    """Names of two made-up words: every value finds its own, none another."""
+    n = 100_000
+    syllables = F.array(*[F.lit(c + v) for c in "bdfgklmnprstvz" for v in "aeiou"])
+    part = lambda salt: F.concat(*[F.element_at(syllables, (F.pmod(F.xxhash64(F.col("id"), F.lit(salt + k)), F.lit(70)) + 1).cast("int")) for k in range(5)])
+    ref = spark.range(n).select(F.col("id").alias("species_id"), F.concat(part(0), F.lit(" "), part(50)).alias("common_name"), F.lit(None).cast("string").alias("scientific_name"), F.array().cast("array<string>").alias("other_names"))
+    ref = ref.withColumn("scientific_name", F.lit(""))
+    twice = ref.groupBy("common_name").count().filter("count > 1").count()
+    assert twice == 0
+    own = ref.filter("species_id % 500 = 7").select("species_id", "common_name")
+    # The second and third letter swapped, or the last doubled.
+    typed = own.withColumn("value", F.when(F.col("species_id") % 1000 == 7, F.expr("concat(substring(common_name, 1, 1), substring(common_name, 3, 1), substring(common_name, 2, 1), substring(common_name, 4))")).otherwise(F.concat("common_name", F.substring("common_name", -1, 1))))
+    got = C.map_values(typed, "value", ref, "species_id", ["common_name", "scientific_name"], ["other_names"]).join(typed, "value")
+    assert got.count() == 200 and got.filter("ref <=> species_id").count() >= 198
+
+
 def test_distance():
     assert C.distance("abcd", "abdc", 2) == 1 and C.distance("abcd", "abcd", 2) == 0 and C.distance("abc", "xyz", 2) == 3
