@@ -129,6 +129,8 @@ def similar(left: DataFrame, right: DataFrame, at_least: Column | float, gap: in
     most, for callers that keep no others. Tokens are ordered by rarity over both sides, ties by the token itself.
     """
     need = at_least if isinstance(at_least, Column) else F.lit(float(at_least))
+    # Tokens are compared as 64-bit numbers: sets of numbers meet in generated code.
+    left, right = (df.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t))) for df in (left, right))
     said = left.select("kind", F.explode("tokens").alias("t")).unionAll(right.select("kind", F.explode("tokens").alias("t")))
     rarity = said.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
