@@ -74,9 +74,11 @@ def test_species_and_other_labels(spark):
     assert column(spark, [["a", " ", None, " b "], None, []], L.string_list("s"), "array<string>") == [["a", "b"], [], []]
 
 
-def test_periods():
-    assert [p[2] for p in L.periods(1950, 2026)] == ["≤1979", "1980s", "1990s", "2000s", "2010s", "2020–26*"]
-    assert [p[2] for p in L.periods(2020, 2020)] == ["2020*"]
+def test_periods(spark):
+    said = lambda *a: [r.label for r in L.period_table(spark, *a).orderBy("bucket").collect()]
+    assert said(1950, 2026) == ["≤1979", "1980s", "1990s", "2000s", "2010s", "2020–26*"]
+    assert said(2020, 2020) == ["2020*"] and said(1985, 1990) == ["1985–89", "1990*"] and said(1950, 2026, []) == ["1950–26*"]
+    assert column(spark, [1949, 1950, 1979, 1980, 2019, 2026, 2027, None], L.period_index("s", 1950, 2026), "int") == [None, 0, 0, 1, 4, 5, None, None]
 
 
 def strict(text):

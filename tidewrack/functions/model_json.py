@@ -118,10 +118,11 @@ def normalize_reply(reply: Column | str, title: Column | str | None = None) -> C
     one is repaired: lists that are none are emptied, vocabularies checked, an empty modality list is
     acoustic on the title's evidence, scores clamped, enumerations defaulted.
     """
-    return let(extract_json(reply), lambda v: _normalized(v, title))
+    return let(extract_json(reply), lambda v: normalized(v, title))
 
 
-def _normalized(v: Column, title: Column | str | None) -> Column:
+def normalized(v: Column, title: Column | str | None) -> Column:
+    """``normalize_reply`` of a reply that is parsed already."""
     obj = is_object(v)
     empty = v.isNull() | (obj & (F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 0))
     flag = F.try_variant_get(v, "$.is_relevant", "variant")

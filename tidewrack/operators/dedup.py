@@ -18,6 +18,11 @@ def latest_per_key(df: DataFrame, key: str, version: str, *ties: str) -> DataFra
     return df.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
+def latest_or_keyless(df: DataFrame, key: str, version: str, *ties: str) -> DataFrame:
+    """``latest_per_key`` for rows with a key, beside every row without one: what has no key is nobody's older version."""
+    return latest_per_key(df.filter(F.col(key).isNotNull()), key, version, *ties).unionByName(df.filter(F.col(key).isNull()))
+
+
 def latest_by_struct(df: DataFrame, key: str, version: str, *carry: str) -> DataFrame:
     """As ``latest_per_key`` for a few narrow columns: a hash aggregation with map-side partials, which also takes hot keys."""
     best = F.max(F.struct(version_text(version).alias("_v"), *[F.col(c) for c in carry]))
@@ -86,13 +91,15 @@ def to_judge(records: DataFrame, verdicts: DataFrame, id_: str = "oa_id", versio
     A record has changed if its version is not blank and greater than the one judged.
     """
     seen = verdicts.groupBy(F.col(id_).alias("_id")).agg(F.max(version_text(judged)).alias("_judged"))
-    j = records.join(seen, records[id_] == seen["_id"], "left")
-    run = F.col("_id").isNull() | (version_text(records[version]) > F.col("_judged"))
+    # Records without an id meet no verdict; kept out of the joins they don't crowd into one task.
+    keyed, keyless = records.filter(F.col(id_).isNotNull()), records.filter(F.col(id_).isNull())
+    j = keyed.join(seen, keyed[id_] == seen["_id"], "left")
+    run = F.col("_id").isNull() | (version_text(keyed[version]) > F.col("_judged"))
     if again is not None:
         a = again.select(F.col(id_).alias("_again")).filter("_again IS NOT NULL").distinct()
-        j = j.join(a, records[id_] == a["_again"], "left")
+        j = j.join(a, keyed[id_] == a["_again"], "left")
         run = run | F.col("_again").isNotNull()
-    return j.filter(run).select(*[records[c] for c in records.columns])
+    return j.filter(run).select(*[keyed[c] for c in records.columns]).unionByName(keyless)
 
 
 def reconcile(lines: DataFrame, verdicts: DataFrame, id_: str = "oa_id", relevant: str = "is_relevant") -> DataFrame:

@@ -110,50 +110,101 @@ def newer_than_state(rows: DataFrame, state: DataFrame, key, version: str, seq:
     )
 
 
+def covered_by_state(rows: DataFrame, state: DataFrame, key, version: str, seq: str, block: int = BLOCK) -> DataFrame:
+    """Intervals of the rows that a state says an earlier run has taken: those not newer than their key's greatest date.
+
+    Rows without a key are no run's business and count as taken. The state is reduced to one row a key before it meets
+    the rows, which are joined as they are.
+    """
+    keyed = rows.select(key.alias("key"), F.coalesce(F.col(version), F.lit("")).alias("v"), F.col(seq).cast("bigint").alias("lo"))
+    seen = state.filter("key IS NOT NULL").groupBy("key").agg(F.max(F.coalesce(F.col("updated_date"), F.lit(""))).alias("_seen"))
+    taken = keyed.join(seen, "key", "left").filter(F.col("key").isNull() | (F.col("v") <= F.coalesce("_seen", F.lit(""))))
+    return merge_intervals(taken.select("lo", F.col("lo").alias("hi")).filter("lo IS NOT NULL").distinct(), block)
+
+
+def newest_per_key(rows: DataFrame, key, version: str, seq: str) -> DataFrame:
+    """``(key, version, seq)``: of each key that is not null the row with the greatest version as text, then the greatest number."""
+    best = F.max(F.struct(F.coalesce(F.col(version), F.lit("")).alias("v"), F.col(seq).alias("n")))
+    return rows.select(key.alias("key"), version, seq).filter("key IS NOT NULL").groupBy("key").agg(best.alias("b")).select("key", F.col("b.v").alias(version), F.col("b.n").alias(seq))
+
+
 class RunLedger:
     """Committed runs below ``root``.
 
-    Each attempt writes ``attempts/<id>/output`` and ``attempts/<id>/intervals``; creating
-    ``commits/<n>.json``, which fails if it exists, makes both visible at once. Attempts without a commit
-    are never read.
+    Each attempt writes ``attempts/<id>/output`` and ``attempts/<id>/intervals``; the commit ``commits/<n>.json`` is
+    written aside and renamed into its place, which fails if another run was there first. So a commit is whole or absent,
+    and makes output and intervals visible at once. Attempts without a commit are never read, and a commit file that
+    holds no commit (a torn one of other writers) counts as none.
     """
 
     def __init__(self, spark: SparkSession, root: str, block: int = BLOCK):
         self.spark, self.root, self.block = spark, root.rstrip("/"), block
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
-    def commits(self) -> list[dict]:
+    def _names(self) -> list[str]:
         at = self._path(f"{self.root}/commits")
         if not self._fs.exists(at):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at))
-        return [json.loads(self._read(f"{self.root}/commits/{n}")) for n in names if n.endswith(".json")]
+        return sorted(n for s in self._fs.listStatus(at) if (n := s.getPath().getName()).endswith(".json") and not n.startswith((".", "_")))
+
+    def last(self) -> dict | None:
+        """The last commit; only as many files are read as it takes to find a whole one."""
+        for n in reversed(self._names()):
+            if (got := self._commit(n)) is not None:
+                return got
+        return None
+
+    def commits(self) -> list[dict]:
+        return [c for n in self._names() if (c := self._commit(n)) is not None]
+
+    def _commit(self, name: str) -> dict | None:
+        try:
+            got = json.loads(self._read(f"{self.root}/commits/{name}"))
+        except ValueError:
+            return None
+        return got if isinstance(got, dict) and "attempt" in got else None
 
     def done(self) -> DataFrame:
         """Intervals of the last commit."""
-        found = self.commits()
+        found = self.last()
         if not found:
             return self.spark.createDataFrame([], INTERVALS)
-        return self.spark.read.schema(INTERVALS).parquet(f"{self.root}/attempts/{found[-1]['attempt']}/intervals")
+        return self.spark.read.schema(INTERVALS).parquet(f"{self.root}/attempts/{found['attempt']}/intervals")
 
     def output(self) -> DataFrame | None:
-        """Output of all committed runs."""
-        paths = [f"{self.root}/attempts/{c['attempt']}/output" for c in self.commits()]
+        """Output of all committed runs that had any."""
+        paths = [f"{self.root}/attempts/{c['attempt']}/output" for c in self.commits() if c.get("output", True)]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def adopt(self, intervals: DataFrame) -> dict:
+        """Commit the intervals of runs that another system has made; their output is not here."""
+        attempt = uuid.uuid4().hex
+        merge_intervals(self.done().unionAll(intervals.select("lo", "hi")), self.block).write.parquet(f"{self.root}/attempts/{attempt}/intervals")
+        return self._commit_attempt(attempt, output=False)
+
     def run(self, rows: DataFrame, seq: str, process: Callable[[DataFrame], DataFrame]) -> dict:
         """Process the gaps and commit. The gaps are written first, so rows that arrive meanwhile wait for the next run."""
-        found, attempt = self.commits(), uuid.uuid4().hex
+        attempt = uuid.uuid4().hex
         base = f"{self.root}/attempts/{attempt}"
-        done = self.done()
+        number, done = self._next(), self.done()
         subtract_intervals(available_intervals(rows, seq, self.block), done, self.block).write.parquet(f"{base}/gaps")
         gaps = self.spark.read.schema(INTERVALS).parquet(f"{base}/gaps")
         process(rows_in(rows, gaps, seq, self.block)).write.parquet(f"{base}/output")
         merge_intervals(done.unionAll(gaps), self.block).write.parquet(f"{base}/intervals")
-        commit = {"run": len(found) + 1, "attempt": attempt}
-        self._create(f"{self.root}/commits/{len(found) + 1:09d}.json", json.dumps(commit))
+        return self._commit_attempt(attempt, number)
+
+    def _next(self) -> int:
+        names = self._names()
+        return int(names[-1].removesuffix(".json")) + 1 if names else 1
+
+    def _commit_attempt(self, attempt: str, number: int | None = None, output: bool = True) -> dict:
+        number = number or self._next()
+        commit = {"run": number, "attempt": attempt} | ({} if output else {"output": False})
+        self._create(f"{self.root}/commits/{number:09d}.json", json.dumps(commit))
         return commit
 
     def _read(self, path: str) -> str:
@@ -164,8 +215,18 @@ class RunLedger:
             stream.close()
 
     def _create(self, path: str, text: str) -> None:
-        stream = self._fs.create(self._path(path), False)
+        """A whole file at the path, or an error if one is there."""
+        aside = self._path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        stream = self._fs.create(aside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        kind = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        never_over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        never_over[0] = kind.NONE
+        try:
+            self._files.rename(aside, self._path(path), never_over)
+        except Exception:
+            self._fs.delete(aside, False)
+            raise

@@ -71,9 +71,8 @@ def dual_align(counts: DataFrame, group: str, left: str, right: str, k: int) ->
 
 def bucket_histogram(df: DataFrame, year: str, group: str, groups: list[str], year_min: int, year_max: int) -> DataFrame:
     """``(bucket, label, <groups>)`` over the periods, zero where there is nothing."""
-    spans = L.periods(year_min, year_max)
-    got = df.select(L.period_index(year, spans).alias("bucket"), F.col(group).alias("_g")).filter("bucket IS NOT NULL").groupBy("bucket").agg(*[F.count_if(F.col("_g") == g).alias(g) for g in groups])
-    dim = df.sparkSession.createDataFrame([(i, s[2]) for i, s in enumerate(spans)], "bucket int, label string")
+    got = df.select(L.period_index(year, year_min, year_max).alias("bucket"), F.col(group).alias("_g")).filter("bucket IS NOT NULL").groupBy("bucket").agg(*[F.count_if(F.col("_g") == g).alias(g) for g in groups])
+    dim = L.period_table(df.sparkSession, year_min, year_max)
     return dim.join(got, "bucket", "left").select("bucket", "label", *[F.coalesce(g, F.lit(0)).alias(g) for g in groups])
 
 

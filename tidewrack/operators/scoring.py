@@ -6,11 +6,11 @@ partitioning, so pipelines can be run and tested as they are.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -28,23 +28,51 @@ class Scorer(Protocol):
     def score(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Tokens(Protocol):
+    """A tokenizer as far as prompts and classifiers need one."""
+
+    def split(self, text: str) -> list: ...
+    def join(self, tokens: list) -> str: ...
+
+
+@dataclass
+class WordTokens:
+    """Words with the white space before them: splitting and joining gives the text back."""
+
+    def split(self, text: str) -> list[str]:
+        return re.findall(r"\s*\S+|\s+$", text)
+
+    def join(self, tokens: list[str]) -> str:
+        return "".join(tokens)
+
+
+def token_batch(texts: list[str], tokens: Tokens, max_len: int, pad: object = "") -> tuple[list[list], np.ndarray]:
+    """Tokens of each text, cut at ``max_len`` and filled up to the longest of the batch, and the mask of the real ones."""
+    rows = [tokens.split(t or "")[:max_len] for t in texts]
+    width = max(map(len, rows), default=0)
+    mask = np.array([[i < len(r) for i in range(width)] for r in rows], dtype=bool).reshape(len(rows), width)
+    return [r + [pad] * (width - len(r)) for r in rows], mask
+
+
+def digest(text: str) -> int:
+    """A number below 2^28 that depends on the text only."""
+    return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
+
+
 @dataclass
 class HashScorer:
-    """Deterministic stand-in for a classifier: a logistic of hashed words, at most ``max_len`` of them."""
+    """Deterministic stand-in for a classifier: the digest of at most ``max_len`` tokens as a share; 0.5 for no token."""
 
     max_len: int = 512
-    bias: float = 0.0
+    tokens: Tokens = field(default_factory=WordTokens)
 
     def load(self) -> None:
         pass
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.empty(len(texts), dtype=np.float32)
-        for i, t in enumerate(texts):
-            words = (t or "").lower().split()[: self.max_len]
-            z = sum((zlib.crc32(w.encode()) % 2001 - 1000) / 1000 for w in words)
-            out[i] = 1 / (1 + np.exp(-(z / max(1, len(words)) ** 0.5 + self.bias)))
-        return out
+        rows, mask = token_batch(texts, self.tokens, self.max_len)
+        said = [" ".join(str(t).strip() for t, m in zip(r, real) if m and str(t).strip()) for r, real in zip(rows, mask)]
+        return np.array([digest(s) / (2**28 - 1) if s else 0.5 for s in said], dtype=float)
 
 
 def score(df: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.45, batch: int = 256) -> DataFrame:
@@ -63,7 +91,12 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", threshold: float =
             parts = [scorer.score(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             yield pd.Series(np.concatenate(parts).astype(float) if parts else [], dtype=float)
 
-    scored = _apart(df, "_p", run(F.col(text))).withColumn("bert_score", round4("_p")).drop("_p")
+    return labelled(_apart(df, "_p", run(F.col(text))), "_p", threshold)
+
+
+def labelled(df: DataFrame, raw: str, threshold: float = 0.45) -> DataFrame:
+    """A raw score in the column ``raw`` made the three score columns; a null score has a null label."""
+    scored = df.withColumn("bert_score", round4(raw)).drop(raw)
     return scored.withColumns({"bert_label": (F.col("bert_score") >= threshold).cast("int"), "bert_threshold": F.lit(float(threshold))})
 
 
@@ -91,7 +124,7 @@ class EchoAnnotator:
     def reply(self, prompts: list[str]) -> list[str]:
         out = []
         for p in prompts:
-            h = zlib.crc32(p.encode())
+            h = digest(p)
             title = p.partition("TITLE: ")[2].partition("\n")[0]
             if h % 11 == 0:
                 out.append("no answer")
@@ -103,29 +136,16 @@ class EchoAnnotator:
         return out
 
 
-def prompts(df: DataFrame, name: str = "prompt") -> DataFrame:
-    """Prompt bodies from the columns of ``featurize.paper_text``."""
-    joined = lambda c: F.array_join(c, ", ")
-    body = F.concat(F.lit("TITLE: "), "title", F.lit("\n\nABSTRACT: "), "abstract", F.lit("\n\nTOPICS: "), joined("topics"), F.lit("\nCONCEPTS: "), joined("concepts"), F.lit("\nKEYWORDS: "), joined("keywords"))
-    return df.withColumn(name, body)
-
-
-class Tokens(Protocol):
-    """A tokenizer as far as prompts need one."""
-
-    def split(self, text: str) -> list: ...
-    def join(self, tokens: list) -> str: ...
-
-
-@dataclass
-class WordTokens:
-    """Words with the white space before them: splitting and joining gives the text back."""
+def plain_chat(system: Column, body: Column) -> Column:
+    """The instructions, a blank line, the body."""
+    return F.concat(system, F.lit("\n\n"), body)
 
-    def split(self, text: str) -> list[str]:
-        return re.findall(r"\s*\S+|\s+$", text)
 
-    def join(self, tokens: list[str]) -> str:
-        return "".join(tokens)
+def prompts(df: DataFrame, name: str = "prompt", system: str = "", template: Callable[[Column, Column], Column] = plain_chat) -> DataFrame:
+    """Prompts from the columns of ``featurize.paper_text``; with ``system`` as ``template`` joins the two."""
+    joined = lambda c: F.array_join(c, ", ")
+    body = F.concat(F.lit("TITLE: "), "title", F.lit("\n\nABSTRACT: "), "abstract", F.lit("\n\nTOPICS: "), joined("topics"), F.lit("\nCONCEPTS: "), joined("concepts"), F.lit("\nKEYWORDS: "), joined("keywords"))
+    return df.withColumn(name, template(F.lit(system), body) if system else body)
 
 
 def fit_prompts(df: DataFrame, budget: int, tokens: Tokens | None = None, overhead: int = 0, prompt: str = "prompt", abstract: str = "abstract") -> DataFrame:
@@ -160,7 +180,7 @@ def annotate(df: DataFrame, annotator: Annotator, prompt: str = "prompt", batch:
             texts = s.fillna("").tolist()
             yield pd.Series([r for i in range(0, len(texts), batch) for r in annotator.reply(texts[i : i + batch])], dtype=object)
 
-    out = _apart(df, "reply", run(F.col(prompt))).withColumn("ai_metadata", model_json.normalize_reply("reply", "title"))
+    out = parse_replies(_apart(df, "reply", run(F.col(prompt))), "reply", "title", "ai_metadata")
     m = F.col("ai_metadata")
     return out.withColumn(
         "classification",
@@ -168,6 +188,12 @@ def annotate(df: DataFrame, annotator: Annotator, prompt: str = "prompt", batch:
     )
 
 
+def parse_replies(df: DataFrame, reply: str, title: str | None, name: str) -> DataFrame:
+    """Adds the repaired reply. The text is parsed once into a column of its own, which all members are taken from."""
+    parsed = _apart(df, "_v", model_json.extract_json(reply))
+    return parsed.withColumn(name, model_json.normalized(F.col("_v"), title)).drop("_v")
+
+
 def attach_meta(df: DataFrame) -> DataFrame:
     """The members of ``ai_metadata`` as columns of the record, its summary as ``ai_summary``."""
     names = [f for f in df.schema["ai_metadata"].dataType.names if f != "summary"]

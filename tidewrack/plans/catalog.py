@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, curation, release
+from . import changes, curation, release, stages
 
-_PARTS = (changes, curation, release)
+_PARTS = (changes, curation, release, stages)
 
 
 def queries() -> dict:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.keys import entity_key
 from ..operators import incremental, shred
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
 
 #: Unicode white space, as a character class of the oracle's regular expressions.
 SQL_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -20,10 +22,16 @@ SQL_KEY = f"coalesce(nullif(lower({sql_strip('doi')}), ''), nullif({sql_strip('i
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest row of each key that is newer than the last successful run's state; no interval is committed yet."""
+    """Newest row of each key among those that the last successful run has not taken.
+
+    The state is what that run left: the rows it covers are committed to a ledger as intervals of row numbers, all others,
+    late ones among them, are the gaps that the next run takes and commits with its output.
+    """
     works = table(spark, sf_dir, "works").select("row_no", "doi", "id", "updated_date")
-    todo = incremental.pending(works, spark.createDataFrame([], incremental.INTERVALS), "row_no")
-    return incremental.newer_than_state(todo, table(spark, sf_dir, "dedup_state"), entity_key(), "updated_date", "row_no").select("row_no")
+    ledger = incremental.RunLedger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.adopt(incremental.covered_by_state(works, table(spark, sf_dir, "dedup_state"), entity_key(), "updated_date", "row_no"))
+    ledger.run(works, "row_no", lambda rows: incremental.newest_per_key(rows, entity_key(), "updated_date", "row_no"))
+    return ledger.output().select("row_no")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,21 +128,9 @@ def index_payload(spark, d):
     return back.select("key", "id", "updated_date", "publication_year")
 
 
-def classify(spark, d):
-    """Scores of the index stage's candidates by the deterministic stand-in model."""
-    return pipeline.classify_stage(pipeline.index_stage(_works(spark, d), table(spark, d, "dedup_state"))).select("row_no", "bert_score", "bert_label", "bert_threshold")
-
-
-def annotate(spark, d):
-    """Annotations of the positives that need a verdict by the deterministic stand-in model."""
-    scored = pipeline.classify_stage(pipeline.index_stage(_works(spark, d), table(spark, d, "dedup_state")))
-    done = pipeline.annotate_stage(scoring.positives(scored), table(spark, d, "processed_s2"))
-    return done.select("row_no", "oa_id", "ai_metadata.is_relevant", "ai_metadata.relevance_score", "ai_metadata.summary", "classification.confidence")
-
-
 def threshold_labels(spark, d):
-    v = table(spark, d, "processed_s2").withColumn("bert_score", F.bround(F.col("relevance_score") / 10, 4))
-    return v.select("oa_id", "bert_score", (F.col("bert_score") >= 0.45).cast("int").alias("bert_label"))
+    v = table(spark, d, "processed_s2").withColumn("raw", F.col("relevance_score") / 10)
+    return scoring.labelled(v, "raw").select("oa_id", "bert_score", "bert_label")
 
 
 def silent_failures(spark, d):
@@ -161,18 +149,21 @@ def model_replies(spark, d):
     """Replies written from the verdicts with prose around them, found, parsed and repaired."""
     v = table(spark, d, "processed_s2")
     said = F.concat(F.lit("Reply: "), F.to_json(F.struct((F.col("is_relevant") == 1).alias("is_relevant"), "relevance_score", "paper_type", "summary")), F.lit(" Done."))
-    m = v.select("oa_id", M.normalize_reply(said).alias("m"))
+    m = scoring.parse_replies(v.select("oa_id", said.alias("said")), "said", None, "m")
     return m.select("oa_id", "m.is_relevant", "m.relevance_score", "m.paper_type", "m.summary", F.size("m.modalities").alias("n_modalities"))
 
 
 def vocabulary_flags(spark, d):
-    each = table(spark, d, "final_relevant").select("rec_no", F.posexplode("domains").alias("pos", "name"))
-    known = F.array(*[F.lit(x) for x in vocab.DOMAINS])
-    return each.filter(F.trim("name") != "").select("rec_no", "pos", "name", (~F.array_contains(known, F.col("name"))).alias("out_of_schema"))
+    """Domains of replies written from the release, checked against their vocabulary; blank names are left out."""
+    items = F.transform("domains", lambda x: F.struct(x.alias("domain")))
+    reply = M.extract_json(F.to_json(F.struct(items.alias("domains"))))
+    each = table(spark, d, "final_relevant").select("rec_no", F.posexplode(M.facet(reply, "domains", *M.FACETS["domains"])).alias("pos", "x"))
+    return each.select("rec_no", "pos", "x.name", "x.out_of_schema")
 
 
 def to_judge(spark, d):
-    best = dedup.latest_per_key(state.with_work_id(_works(spark, d, "row_no", "id", "doi", "updated_date")), "oa_id", "updated_date", "row_no")
+    """Newest record of each id and every record without one, as far as they need a verdict."""
+    best = dedup.latest_or_keyless(state.with_work_id(_works(spark, d, "row_no", "id", "doi", "updated_date")), "oa_id", "updated_date", "row_no")
     return state.pending_records(best, table(spark, d, "processed_s2"), "silent_failures").select("row_no", "oa_id")
 
 
@@ -233,7 +224,7 @@ QUERIES = {
     for f in (
         scan_raw, reject_reasons, reject_counts, progress_counters, entity_keys, work_ids, latest_versions, still_needed,
         candidate_rows, state_merge, dedup_counts, index_stage, abstracts, classifier_text, prompt_text, index_payload,
-        classify, annotate, threshold_labels, silent_failures, all_rejected, relevant_only, model_replies,
+        threshold_labels, silent_failures, all_rejected, relevant_only, model_replies,
         vocabulary_flags, to_judge, verdict_upsert, reconcile, last_lines, pending_files, complete_files, file_totals,
         pruned_partitions, state_lines, stream_latest,
     )
@@ -241,7 +232,7 @@ QUERIES = {
 
 _FAILURE = f"is_relevant = 0 AND relevance_score = 0 AND lower({sql_strip("coalesce(summary, '')")}) IN {_in(vocab.FAILURE_MARKERS)}"
 _NEWEST_OA = f"""p AS (SELECT row_no, {SQL_OA} AS oa_id, coalesce(updated_date, '') AS v FROM works),
-    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY oa_id ORDER BY v DESC, row_no DESC) = 1)"""
+    b AS (SELECT * FROM p WHERE oa_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY oa_id ORDER BY v DESC, row_no DESC) = 1 UNION ALL SELECT * FROM p WHERE oa_id IS NULL)"""
 _KEYWORDS = f"list_filter(list_transform(coalesce(keywords, [])[1:8], lambda k: {sql_strip('k')}), lambda k: k IS NOT NULL AND k <> '')"
 _PART = lambda tag, s: f"CASE WHEN {s} <> '' THEN '[{tag}] ' || {s} END"
 
@@ -288,7 +279,7 @@ ORACLES = {
                 WHEN low IN {_in(vocab.COPIED_SUMMARIES)} OR (contains(low, '<') AND contains(low, '>')) THEN 'template_leak' ELSE summary END AS summary,
             CASE WHEN CASE WHEN is_relevant IS NULL THEN coalesce(relevance_score > 0, false) ELSE yes END THEN 1 ELSE 0 END AS n_modalities FROM v""",
     "vocabulary_flags": f"""SELECT rec_no, pos - 1 AS pos, name, name NOT IN {_in(vocab.DOMAINS)} AS out_of_schema FROM (
-        SELECT rec_no, unnest(domains) AS name, generate_subscripts(domains, 1) AS pos FROM final_relevant) WHERE trim(name) <> ''""",
+        SELECT rec_no, unnest(m) AS name, generate_subscripts(m, 1) AS pos FROM (SELECT rec_no, list_filter(domains, lambda x: coalesce({sql_strip('x')}, '') <> '') AS m FROM final_relevant))""",
     "to_judge": f"""WITH {_NEWEST_OA}, s AS (SELECT oa_id, max(coalesce(source_updated_date, '')) AS j, bool_or({_FAILURE}) AS again FROM processed_s2 GROUP BY oa_id)
         SELECT row_no, b.oa_id FROM b LEFT JOIN s ON b.oa_id = s.oa_id WHERE s.oa_id IS NULL OR v > j OR coalesce(again, false)""",
     "verdict_upsert": f"""WITH {_NEWEST_OA}, n AS (SELECT oa_id, v FROM b WHERE oa_id IS NOT NULL)

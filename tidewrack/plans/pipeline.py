@@ -20,6 +20,9 @@ class PipelineConfig:
     reprocess: str = "normal"
     text: featurize.TextFields = field(default_factory=featurize.TextFields)
     ties: tuple[str, ...] = ("file_path", "row_no")
+    system: str = ""
+    #: Tokens that a prompt may have, the instructions included; none is cut where it is null.
+    prompt_tokens: int | None = None
 
 
 def index_stage(works: DataFrame, seen: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
@@ -38,10 +41,13 @@ def classify_stage(index: DataFrame, scorer: scoring.Scorer | None = None, confi
     return scoring.score(featurize.with_text(index, config.text), scorer or scoring.HashScorer(), "text", config.threshold)
 
 
-def annotate_stage(positives: DataFrame, verdicts: DataFrame, annotator: scoring.Annotator | None = None, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Annotated records among those that need a verdict."""
+def annotate_stage(positives: DataFrame, verdicts: DataFrame, annotator: scoring.Annotator | None = None, config: PipelineConfig = PipelineConfig(), tokens: scoring.Tokens | None = None) -> DataFrame:
+    """Annotated records among those that need a verdict, their prompts cut to the budget where there is one."""
     todo = state.pending_records(state.with_work_id(positives), verdicts, config.reprocess)
-    return scoring.annotate(scoring.prompts(featurize.paper_text(todo)), annotator or scoring.EchoAnnotator())
+    asked = scoring.prompts(featurize.paper_text(todo), system=config.system)
+    if config.prompt_tokens is not None:
+        asked = scoring.fit_prompts(asked, config.prompt_tokens, tokens)
+    return scoring.annotate(asked, annotator or scoring.EchoAnnotator())
 
 
 def new_state(index: DataFrame, seen: DataFrame) -> DataFrame:

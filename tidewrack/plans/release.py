@@ -174,7 +174,7 @@ def _dual(counts: str) -> str:
         FROM k a LEFT JOIN k b ON a.label = b.label AND a.group2 <> b.group2 WHERE a.rank < {TOP}"""
 
 
-_BUCKETS = ", ".join(f"({i}, {lo}, {hi}, '{name}')" for i, (lo, hi, name) in enumerate(L.periods(1950, 2026)))
+_BUCKETS = "(0, 1950, 1980, '≤1979'), (1, 1980, 1990, '1980s'), (2, 1990, 2000, '1990s'), (3, 2000, 2010, '2000s'), (4, 2010, 2020, '2010s'), (5, 2020, 2027, '2020–26*')"
 _INST = f"SELECT x AS label, count(*) AS n FROM ({_LIST('institutions', 'final_relevant')}) GROUP BY 1"
 
 ORACLES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,14 +20,22 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
 
 
-def dual_sink(df: DataFrame, all_path: str, positive_path: str, threshold: float, score: str = "bert_score", mode: str = "append") -> None:
-    """Every scored row, and those at or above the threshold.
+def dual_sink(df: DataFrame, all_path: str, positive_path: str, threshold: float, score: str = "bert_score", run: str | None = None) -> str:
+    """Every scored row, and those at or above the threshold, each in a folder ``run=<run>`` of its own; returns the run.
 
-    The positives are filtered from what was written, so the model runs once and nothing is cached.
+    The positives are filtered from what this run wrote: the model runs once, nothing is cached, and no earlier run is
+    read again. A run that is repeated under its name replaces itself.
     """
-    df.write.mode(mode).parquet(all_path)
-    written = df.sparkSession.read.schema(df.schema).parquet(all_path)
-    written.filter(F.col(score) >= threshold).write.mode("overwrite").parquet(positive_path)
+    run = run or uuid.uuid4().hex
+    df.write.mode("overwrite").parquet(f"{all_path}/run={run}")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{all_path}/run={run}")
+    written.filter(F.col(score) >= threshold).write.mode("overwrite").parquet(f"{positive_path}/run={run}")
+    return run
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all runs below a path."""
+    return spark.read.parquet(path).drop("run")
 
 
 class VersionedTable:
