@@ -67,10 +67,17 @@ def subtract_intervals(available: DataFrame, done: DataFrame, block: int = BLOCK
 
 
 def rows_in(rows: DataFrame, intervals: DataFrame, seq: str, block: int = BLOCK) -> DataFrame:
-    """Rows whose number lies in one of the disjoint intervals: an equi-join on the block with a residual range."""
-    p = _by_block(intervals, block).select("_block", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    r = rows.withColumn("_at", F.floor(F.col(seq).cast("bigint") / F.lit(block)).cast("bigint"))
-    return r.join(p, (r["_at"] == p["_block"]) & r[seq].between(p["_lo"], p["_hi"]), "left_semi").drop("_at")
+    """Rows whose number lies in one of the disjoint intervals: a sweep inside each block.
+
+    Rows and intervals' beginnings are read in order; a row is in if the greatest end so far reaches it. So the cost does
+    not depend on how many pieces the intervals are in. Rows without a number are in none.
+    """
+    n = F.col(seq).cast("bigint")
+    r = rows.filter(n.isNotNull()).select(F.floor(n / F.lit(block)).cast("bigint").alias("_block"), n.alias("_at"), F.lit(None).cast("bigint").alias("_hi"), F.struct(*[rows[c] for c in rows.columns]).alias("_row"))
+    p = _by_block(intervals, block).select("_block", F.col("lo").alias("_at"), F.col("hi").alias("_hi"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    w = W.partitionBy("_block").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = r.unionAll(p).withColumn("_end", F.max("_hi").over(w))
+    return swept.filter(F.col("_row").isNotNull() & (F.col("_end") >= F.col("_at"))).select("_row.*")
 
 
 def pending(rows: DataFrame, done: DataFrame, seq: str, block: int = BLOCK) -> DataFrame:
