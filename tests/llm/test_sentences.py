@@ -99,3 +99,38 @@ def test_table_with_odd_rows(spark, table):
     got = sorted((r.doc_id or 0, r.start_pos, r.end_pos) for r in S.split(df, table=table).collect())
     assert got == [(0, 0, 9), (2, 0, 9), (2, 0, 9), (2, 10, 24)]
     assert S.split(df.limit(0)).count() == 0
+
+
+def test_pruned_division_equals_all_spans(table):
+    """No reach and no early end: the division is the best of all, also where one sentence has hundreds of candidates."""
+    import random
+
+    rng = random.Random(4)
+    words = ["Dr.", "e.g.", "They", "called.", "“We", "heard", "it.”", "(see", "Fig.", "2.)", "\"odd", "No.", "etc.", "and", "U.M.R.", "then!", "了。", "「そ", "た。」", "…"]
+    for size in (3, 8, 20, 60, 150, 400):
+        for _ in range(12 if size < 100 else 3):
+            text = " ".join(rng.choice(words) for _ in range(size))
+            x = S.lay([text])
+            score = x.scores(table).tolist()
+            at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
+            c = m = 0
+            for start, end, n in x.blocks.tolist():
+                if n < 0:
+                    continue
+                part = (start, end, at[c : c + n], to[c : c + n], score[c : c + n], x.marks[m : m + n + 1])
+                assert S.divide(*part) == S.divide(*part, prune=False)
+                c, m = c + n, m + n + 1
+
+
+def test_a_sentence_over_many_abbreviations(table):
+    text = "We met " + "Dr. Veskova and " * 150 + "then they did!"
+    assert len(cut(text, table)) == 1
+
+
+def test_laid_out_documents_survive_packing(table):
+    docs = [None, "", EN, "They did! Did they call?", EN.lower(), "他说：“先听到两声。后来就停了。”然后离开了。结果出人意料！"]
+    x = S.lay(docs)
+    y = S.Laid.unpack(x.pack())
+    assert all((a == b).all() for a, b in zip(S.spans(x, table), S.spans(y, table)))
+    doc, *_ = S.spans(y, table)
+    assert [int((doc == i).sum()) for i in range(len(docs))] == [len(S.sentences(d, table)) for d in docs]

@@ -8,6 +8,9 @@ sentence, and by whether its quotation marks and brackets balance.
 How words open and close is learned from the corpus without labels: the ends of paragraphs are certain,
 so an abbreviation shows by never standing there. The counts are then refined by dividing the corpus
 and counting again. They cover all documents and are kept in tables of DIM hashed places.
+
+A document's text is read once: blocks, candidates and the places of their words are laid out as numbers, and
+the rounds of counting as well as the division itself run over these.
 """
 
 from __future__ import annotations
@@ -19,19 +22,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import busy
+from ..session import busy, cut
 
 DIM = 1 << 20
 #: Rounds of dividing the corpus and counting again.
 ROUNDS = 2
-#: A span reaches over so many candidates at most; a longer stretch without any likely end is cut at its best one.
-REACH = 60
-#: A score that outweighs everything that the spans on both sides of a cut can lose.
-SURE = 8.0
+#: Characters of text in a stored row, about.
+CHUNK = 1 << 19
 #: Share of sentence ends that are paragraph ends, before anything is counted.
 BASE = 0.2
 
@@ -119,7 +120,6 @@ class Cut:
     bias: float
     end: str = ""
     open: str = ""
-    score: float = 0.0
 
 
 @dataclass
@@ -373,27 +373,13 @@ class Table:
     """Counts of words at sentence ends and starts against all their candidates, as hashed tables."""
 
     def __init__(self, yes: np.ndarray | None = None, all_: np.ndarray | None = None, base: float = BASE):
-        self.yes, self.all, self.base, self.memo = yes, all_, base, {}
-
-    def odds(self, kind: int, word: str, prior: float) -> float:
-        """Log odds that a boundary is at a candidate with this word, little-seen words leaning to the prior."""
-        if word[:1] == "~":
-            # Small and capital form together, and what flat text itself shows.
-            bare = word[1:]
-            return (self.odds(kind, bare, prior) + self.odds(kind, "^" + bare, prior) + 2 * self.odds(kind, "=" + bare, prior)) / 2
-        key = (kind, word, prior)
-        got = self.memo.get(key)
-        if got is None:
-            y = n = 0.0
-            if self.all is not None:
-                p = place(kind, word)
-                y, n = float(self.yes[p]) / self.base, float(self.all[p])
-            p = min(0.985, max(0.015, (y + 3 * prior) / (n + 3)))
-            got = math.log(p / (1 - p))
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+        self.yes, self.all, self.base = yes, all_, base
+
+    def odds(self, p: np.ndarray, prior: np.ndarray | float) -> np.ndarray:
+        """Log odds that a boundary is at candidates with words of these places, little-seen words leaning to the prior."""
+        y, n = (self.yes[p] / self.base, self.all[p]) if self.all is not None else (0.0, 0.0)
+        share = np.clip((y + 3 * prior) / (n + 3), 0.015, 0.985)
+        return np.log(share / (1 - share))
 
 
 def shape_prior(word: str) -> float:
@@ -411,25 +397,98 @@ def shape_prior(word: str) -> float:
     return 0.85
 
 
-def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
-    """Indices of the cuts that the best division uses."""
-    n = len(cuts)
-    for c in cuts:
-        c.score = c.bias + table.odds(END, c.end, shape_prior(c.end)) + table.odds(OPEN, c.open, 0.5)
+@dataclass
+class Laid:
+    """Documents as numbers: blocks, candidates and the marks between them; all that any later pass needs.
+
+    ``blocks`` has start, end and number of candidates (-1 for a unit that is one sentence), ``ends`` the places of a
+    running block's last and first word, ``cuts`` at, to and the places of the last word, of the first, and of its
+    bare and capital form where capitals say nothing (else -1). ``marks`` has the marks of each piece, a line each.
+    """
+
+    per: np.ndarray
+    blocks: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+    bias: np.ndarray
+    prior: np.ndarray
+    marks: list[str]
+
+    def pack(self) -> list[bytes]:
+        parts = [x.astype(k).tobytes() for x, k in zip((self.per, self.blocks, self.ends, self.cuts, self.bias, self.prior), ("<i4", "<i4", "<i4", "<i4", "<f8", "<f8"))]
+        return [zlib.compress(x, 1) for x in [*parts, "\n".join(self.marks).encode()]]
+
+    @classmethod
+    def unpack(cls, cells: list[bytes]) -> "Laid":
+        raw = [zlib.decompress(c) for c in cells]
+        whole = lambda i, k: np.frombuffer(raw[i], dtype="<i4").reshape(-1, k)
+        per = np.frombuffer(raw[0], dtype="<i4")
+        return cls(per, whole(1, 3), whole(2, 2), whole(3, 6), np.frombuffer(raw[4], dtype="<f8"), np.frombuffer(raw[5], dtype="<f8"), raw[6].decode().split("\n"))
+
+    def scores(self, table: Table) -> np.ndarray:
+        """What each candidate adds to a division that uses it."""
+        end, first, bare, capital = self.cuts[:, 2:].T
+        opens = table.odds(first, 0.5)
+        flat = bare >= 0
+        # Small and capital form together, and what flat text itself shows.
+        opens = np.where(flat, (table.odds(bare, 0.5) + table.odds(capital, 0.5) + 2 * opens) / 2, opens)
+        return self.bias + table.odds(end, self.prior) + opens
+
+
+def counted(word: str) -> str:
+    return word.replace("~", "=", 1) if word[:1] == "~" else word
+
+
+def lay(texts: list[str | None]) -> Laid:
+    """Null, empty and blank texts have no blocks."""
+    per, blocks, ends, cuts, bias, prior, marks = [], [], [], [], [], [], []
+    for text in texts:
+        before = len(blocks)
+        if text and text.strip("﻿ \t\r\n"):
+            flat = is_flat(text)
+            for block in layout(text):
+                a, b = trim(text, block.start, block.end)
+                if block.whole:
+                    blocks.append((a, b, -1))
+                    continue
+                low = flat or flat_block(text, block)
+                found = candidates(text, block, low)
+                blocks.append((a, b, len(found)))
+                ends.append((place(END, closing(text, a, b)), place(OPEN, counted(opening(text, a, b, low)))))
+                for c in found:
+                    bare = c.open[1:] if c.open[:1] == "~" else None
+                    cuts.append((c.at, c.to, place(END, c.end), place(OPEN, counted(c.open)), -1 if bare is None else place(OPEN, bare), -1 if bare is None else place(OPEN, "^" + bare)))
+                    bias.append(c.bias)
+                    prior.append(shape_prior(c.end))
+                starts = [block.start, *(c.to for c in found)]
+                marks += ["".join(_MARKS(text[x:y])) for x, y in zip(starts, [*(c.at for c in found), block.end])]
+        per.append(len(blocks) - before)
+    grid = lambda x, k: np.array(x, dtype=np.int64).reshape(-1, k)
+    return Laid(np.array(per, dtype=np.int64), grid(blocks, 3), grid(ends, 2), grid(cuts, 6), np.array(bias, dtype=float), np.array(prior, dtype=float), marks)
+
+
+def divide(start: int, end: int, at: list[int], to: list[int], score: list[float], pieces: list[str], prune: bool = True) -> list[int]:
+    """Indices of the cuts that the best division of a block uses; the first of equal ones.
+
+    A span may reach over any number of candidates. Without ``prune`` all spans are tried. Else two kinds are left
+    out that can't be in the best division: spans over a place where nothing is open and that is reached at a better
+    value than the span's own start, and spans from a start that a longer one, begun earlier, outdoes at any end.
+    """
+    n = len(at)
     if not n:
         return []
-    starts = [block.start, *(c.to for c in cuts)]
-    stops = [*(c.at for c in cuts), block.end]
-    # Marks between neighbouring candidates, so that a span's balance is a sum of its pieces.
-    pieces = [_MARKS(text[starts[i] : stops[i]]) for i in range(n + 1)]
+    starts, stops = [start, *to], [*at, end]
     best, back = [0.0] + [-math.inf] * (n + 1), [0] * (n + 2)
+    # Value below which a start is outdone by an earlier one that nothing separates from it.
+    floor = [-math.inf] * (n + 2)
     for i in range(n + 1):
-        if best[i] == -math.inf:
+        mine = best[i]
+        if mine == -math.inf or (prune and mine < floor[i]):
             continue
         open_: list[str] = []
         lost = 0
         straight = 0
-        for j in range(i, min(n + 1, i + REACH)):
+        for j in range(i, n + 1):
             for c in pieces[j]:
                 if c == '"':
                     straight ^= 1
@@ -443,12 +502,17 @@ def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
                     lost += 1
             letters = stops[j] - starts[i]
             span = -4.0 * (len(open_) + lost + straight) - (2.0 if letters < 4 else 0.0) - max(0.0, math.log(max(letters, 1) / 600))
-            v = best[i] + span + (cuts[j].score if j < n else 0.0)
+            v = mine + span + (score[j] if j < n else 0.0)
             if v > best[j + 1]:
                 best[j + 1], back[j + 1] = v, i
-            # Past a sure end with nothing open no longer span can win: it would lose more than any span can.
-            if j < n and cuts[j].score > SURE and not open_ and not straight:
-                break
+            if prune and j < n and not open_ and not straight:
+                # From the next start every span is as balanced and no longer; only a very short one costs 2 more.
+                if best[j + 1] - 2.0 - 1e-9 > mine:
+                    break
+                # The other way round: a span from here costs at most the length up to there more.
+                outdone = mine - 4.0 * lost - math.log((starts[j + 1] - starts[i] + 600) / 600) - 1e-9
+                if outdone > floor[j + 1]:
+                    floor[j + 1] = outdone
     out, j = [], n + 1
     while j > 0:
         j = back[j]
@@ -457,100 +521,132 @@ def divide(text: str, block: Block, cuts: list[Cut], table: Table) -> list[int]:
     return out[::-1]
 
 
+def divisions(x: Laid, table: Table) -> Iterator[tuple[int, int, int, list[int]]]:
+    """``(block, first candidate, start, used)`` of every block that is no unit: the candidates its best division uses."""
+    score = x.scores(table).tolist()
+    at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
+    c = m = 0
+    for i, (start, end, n) in enumerate(x.blocks.tolist()):
+        if n >= 0:
+            yield i, c, start, [c + k for k in divide(start, end, at[c : c + n], to[c : c + n], score[c : c + n], x.marks[m : m + n + 1])]
+            c, m = c + n, m + n + 1
+
+
+def spans(x: Laid, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, start, end)`` of every sentence, documents by their place."""
+    used = {i: u for i, _, _, u in divisions(x, table)}
+    docs = np.repeat(np.arange(len(x.per)), x.per).tolist()
+    at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
+    doc, first, last = [], [], []
+    for i, (start, end, n) in enumerate(x.blocks.tolist()):
+        ks = used[i] if n > 0 else []
+        for a, b in zip([start, *(to[k] for k in ks)], [*(at[k] for k in ks), end]):
+            if b > a:
+                doc.append(docs[i]), first.append(a), last.append(b)
+    return np.array(doc, dtype=np.int64), np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
+
+
 def sentences(text: str | None, table: Table) -> list[tuple[int, int]]:
     """``(start, end)`` of every sentence; none for null, empty and blank texts."""
-    if not text or not text.strip("﻿ \t\r\n"):
-        return []
-    flat = is_flat(text)
-    out: list[tuple[int, int]] = []
-    for block in layout(text):
-        if block.whole:
-            out.append(trim(text, block.start, block.end))
-            continue
-        cuts = candidates(text, block, flat or flat_block(text, block))
-        at = block.start
-        for k in divide(text, block, cuts, table):
-            out.append(trim(text, at, cuts[k].at))
-            at = cuts[k].to
-        out.append(trim(text, at, block.end))
-    return [(a, b) for a, b in out if b > a]
+    _, a, b = spans(lay([text]), table)
+    return list(zip(a.tolist(), b.tolist()))
 
 
-def observe(text: str, table: Table | None, yes: np.ndarray, all_: np.ndarray, ends: np.ndarray) -> None:
-    """Count words at certain ends and starts (no table yet), or at those of the division by a table.
+def observe(x: Laid, table: Table | None) -> np.ndarray:
+    """Words at certain ends and starts (no table yet) or at those of the division by a table, then words at all candidates.
 
-    ``ends`` adds up paragraph ends and candidates, for the share of the one in the other.
+    Behind them stand the numbers of paragraph ends and of candidates, for the share of the one in the other.
     """
-    flat = is_flat(text)
-    for block in layout(text):
-        if block.whole:
-            continue
-        low = flat or flat_block(text, block)
-        cuts = candidates(text, block, low)
-        used = set() if table is None else set(divide(text, block, cuts, table))
-        for k, c in enumerate(cuts):
-            for kind, word in ((END, c.end), (OPEN, c.open)):
-                p = place(kind, word.replace("~", "=", 1) if word[:1] == "~" else word)
-                all_[p] += 1
-                if k in used:
-                    yes[p] += 1
-        if table is None:
-            a, b = trim(text, block.start, block.end)
-            for kind, word in ((END, closing(text, a, b)), (OPEN, opening(text, a, b, low))):
-                p = place(kind, word.replace("~", "=", 1) if word[:1] == "~" else word)
-                all_[p] += 1
-                yes[p] += 1
-            ends[0] += 1
-        ends[1] += len(cuts)
-
-
-def count(docs: DataFrame, text: str, table: Table | None) -> Table:
+    out = np.zeros(2 * DIM + 2, dtype=np.int64)
+    yes, all_ = out[:DIM], out[DIM : 2 * DIM]
+    words = x.cuts[:, 2:4]
+    all_ += np.bincount(words.ravel(), minlength=DIM)
+    if table is None:
+        sure = np.bincount(x.ends.ravel(), minlength=DIM)
+        yes += sure
+        all_ += sure
+        out[2 * DIM] = len(x.ends)
+    else:
+        used = [k for *_, u in divisions(x, table) for k in u]
+        yes += np.bincount(words[used].ravel(), minlength=DIM)
+    out[2 * DIM + 1] = len(x.cuts)
+    return out
+
+
+CELLS = "abcdefg"
+
+
+def lay_out(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All documents as numbers, with their keys: rows of many documents each, packed. The texts are read here only."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts = b.column(0), b.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                # Long texts in small rows.
+                n, chars = 0, 0
+                while at + n < len(texts) and (n == 0 or chars < CHUNK):
+                    chars += len(texts[at + n] or "")
+                    n += 1
+                cells = [pa.array([c], pa.binary()) for c in lay(texts[at : at + n]).pack()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), keys.slice(at, n)), *cells], names=["keys", *CELLS])
+                at += n
+
+    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return cut(busy(base, "k").mapInArrow(work, f"keys array<{kind}>, " + ", ".join(f"{c} binary" for c in CELLS)))
+
+
+def count(laid: DataFrame, table: Table | None) -> Table:
     """Table over all documents: each task adds up its own, the sum has DIM rows at most."""
-    shared = docs.sparkSession.sparkContext.broadcast((table.yes, table.all, table.base) if table else None)
+    shared = laid.sparkSession.sparkContext.broadcast((table.yes, table.all, table.base) if table else None)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(*shared.value) if shared.value else None
-        yes, all_, ends = np.zeros(DIM), np.zeros(DIM), np.zeros(2)
+        sums = np.zeros(2 * DIM + 2, dtype=np.int64)
         for b in batches:
-            for s in b[text]:
-                if s and s.strip():
-                    observe(s, t, yes, all_, ends)
-        p = np.flatnonzero(all_)
-        yield pd.DataFrame({"p": p, "yes": yes[p], "all": all_[p]})
-        yield pd.DataFrame({"p": [-1], "yes": [ends[0]], "all": [ends[1]]})
-
-    rows = busy(docs.select(text), text).mapInPandas(work, "p long, yes double, all double").groupBy("p").agg(F.sum("yes").alias("yes"), F.sum("all").alias("all")).toPandas()
-    yes, all_ = np.zeros(DIM), np.zeros(DIM)
-    own = rows[rows["p"] >= 0]
-    yes[own["p"].to_numpy()], all_[own["p"].to_numpy()] = own["yes"], own["all"]
-    total = rows[rows["p"] < 0]
-    ends, cuts = float(total["yes"].sum()), float(total["all"].sum())
+            for cells in zip(*(c.to_pylist() for c in b.columns)):
+                sums += observe(Laid.unpack(cells), t)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
+
+    got = laid.select(*CELLS).mapInArrow(work, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
+    sums = np.zeros(2 * DIM + 2)
+    sums[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=float)
+    ends, cuts = sums[2 * DIM :]
     # About two thirds of the candidates end a sentence; the division then counts them itself.
-    return Table(yes, all_, min(1.0, max(0.02, ends / max(1.0, ends + 0.65 * cuts)))) if table is None else Table(yes, all_, 1.0)
+    base = min(1.0, max(0.02, ends / max(1.0, ends + 0.65 * cuts))) if table is None else 1.0
+    return Table(sums[:DIM], sums[DIM : 2 * DIM], base)
 
 
-def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Table:
-    table = count(docs, text, None)
+def train(laid: DataFrame, rounds: int = ROUNDS) -> Table:
+    table = count(laid, None)
     for _ in range(rounds):
-        table = count(docs, text, table)
+        table = count(laid, table)
     return table
 
 
+def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Table:
+    return train(lay_out(docs.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", "t"), rounds)
+
+
 def split(docs: DataFrame, key: str = "doc_id", text: str = "text", table: Table | None = None) -> DataFrame:
     """``(key, start_pos, end_pos)`` of every sentence of every document, in code points.
 
     Null, empty and blank texts have no rows; repeated rows give repeated sentences.
     """
-    t = table or learn(docs, text)
+    laid = lay_out(docs, key, text)
+    t = table or train(laid)
     shared = docs.sparkSession.sparkContext.broadcast((t.yes, t.all, t.base))
     kind = docs.schema[key].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Table(*shared.value)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                rows = [(k, x, y) for k, s in zip(part[key], part[text]) for x, y in sentences(s, own)]
-                yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos"])
+            for i in range(b.num_rows):
+                doc, first, last = spans(Laid.unpack([b.column(1 + k)[i].as_py() for k in range(len(CELLS))]), own)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i].values.take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=[key, "start_pos", "end_pos"])
 
-    return busy(docs.select(key, text), key).mapInPandas(work, f"`{key}` {kind}, start_pos int, end_pos int")
+    return laid.mapInArrow(work, f"`{key}` {kind}, start_pos int, end_pos int")
