@@ -89,3 +89,22 @@ def test_confidence_depends_on_the_text_only(judge):
             able = [a for a in judge.by if len(letters & judge.by[a].chars) >= 0.7 * len(letters)] or list(judge.by)
             bits = sorted(judge.by[x].phrases(said, 10**9) * judge.by[x].bits for x in able)
             assert sure == (pytest.approx(1 - bits[0] / bits[1], abs=1e-4) if len(bits) > 1 else 1.0)
+
+
+def test_more_than_two_parts(judge):
+    text = f"{TEXT['en'][0]} | {TEXT['de'][1]} | {TEXT['es'][0]}; {TEXT['es'][2]} / {TEXT['ru'][0]}"
+    parts = judge.parts(text)
+    assert [p[2] for p in parts] == ["en", "de", "es", "ru"]
+    assert text[parts[2][0] : parts[2][1]] == f"{TEXT['es'][0]}; {TEXT['es'][2]}"
+    assert all(0 < p[3] <= 1 for p in parts) and all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_same_parts_on_any_partitioning(spark, small):
+    """Every title of a table, its parts and their confidence, whatever the order and the tasks."""
+    from tidewrack.session import table
+
+    rows = table(spark, small, "works").select("row_no", "title", "language")
+    model = L.train(rows, "title", "language")
+    read = lambda df: {r.text: [tuple(p) for p in r.parts] for r in L.judge_texts(df, "title", model).collect()}
+    want = read(rows.repartition(1))
+    assert want and want == read(rows.orderBy("title").repartition(5)) == read(rows.orderBy("row_no"))

@@ -71,3 +71,36 @@ def test_least_squares_fit_of_a_known_mix():
         for s, k in p:
             hist[s] += k * n
     assert np.allclose(P.nnls(pats, hist, 2000), [5, 7, 3, 9], atol=0.05)
+
+
+def test_fit_beats_best_fit():
+    """Halves and quarters a little over and under: the longest first leaves room that no other fills."""
+    hist, m = np.zeros(1001, dtype=int), 40
+    hist[510], hist[270], hist[260], hist[230] = 6 * m, 6 * m, 6 * m, 12 * m
+    used = lambda p: sum(n for _, n in p)
+    assert used(P.best_fit(hist.astype(np.int64).copy(), 1000)) == 11 * m
+    assert used(P.fit_patterns(hist, 1000)) <= 9.6 * m and P.plan(hist, 1000) == P.fit_patterns(hist, 1000)
+
+
+def test_patterns_against_all_combinations():
+    rng = np.random.default_rng(8)
+    hist, capacity = (rng.random(49) < 0.4) * 3, 48
+    hist[0] = 0
+    sizes = np.flatnonzero(hist).tolist()
+    want = {((s, capacity // s),) for s in sizes if capacity % s == 0}
+    want |= {tuple(sorted({s: k, r: 1}.items(), reverse=True)) if s != r else ((s, k + 1),) for s in sizes for k in range(1, capacity // s + 1) if (r := capacity - s * k) in sizes and s * k >= capacity // 8}
+    from collections import Counter
+    from itertools import combinations_with_replacement
+
+    want |= {tuple(sorted(Counter(x).items(), reverse=True)) for x in combinations_with_replacement(sizes, 3) if sum(x) == capacity and sum(v >= capacity // 8 for v in x) >= 2 and max(x) + min(x) <= capacity}
+    got = set(P.patterns(hist, capacity))
+    assert got <= want and {p for p in want if sum(k for _, k in p) == 3 and min(s for s, _ in p) >= capacity // 8} <= got
+
+
+def test_large_capacities_are_planned(spark):
+    capacity = 131_072
+    rng = np.random.default_rng(6)
+    hist = np.bincount(np.minimum(rng.lognormal(8.5, 1.6, 20_000).astype(int) + 1, capacity), minlength=capacity + 1)
+    plan = P.plan(hist, capacity)
+    least = -(-int((hist * np.arange(capacity + 1)).sum()) // capacity)
+    assert least <= sum(n for _, n in plan) <= 1.02 * least + 2

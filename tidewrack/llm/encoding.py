@@ -26,10 +26,10 @@ MEANT = ["utf-8", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "shift_jis
 WIDE = ["shift_jis", "euc_jp", "gbk", "big5", "euc_kr"]
 _CYRILLIC = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя"
 LATIN = ["latin-1", "cp1252", "mac_roman", "cp437"]
-#: A transformation needs so many votes of different text pairs.
-VOTES = 2
-#: A character is the corpus's own if it is in so many different texts.
-KNOWN = 3
+#: A transformation needs so many votes of different text pairs, two at least: this share of all votes.
+VOTES, VOTE_SHARE = 2, 1e-5
+#: A character is the corpus's own if it is in so many different texts, three at least: this share of those not in ASCII.
+KNOWN, KNOWN_SHARE = 3, 2e-6
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _FOUR = re.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]{3}|[^\n]{0,3}[^\x00-\x7f]){1,}")
 _SHIFT = re.compile(r"\+([A-Za-z0-9+/]{3,})(-?)")
@@ -144,9 +144,11 @@ class Model:
 
     moves: list[tuple[str, str, int]]
     chars: dict[str, int]
+    texts: int = 0
 
     def __post_init__(self) -> None:
-        self.known = {c for c, n in self.chars.items() if n >= KNOWN and not "\x80" <= c <= "\x9f" and c != "\ufffd"}
+        self.least = max(KNOWN, math.ceil(KNOWN_SHARE * self.texts))
+        self.known = {c for c, n in self.chars.items() if n >= self.least and not "\x80" <= c <= "\x9f" and c != "\ufffd"}
         self.blocks = {_block(c) for c in self.known}
         charsets = [w for m, w, _ in self.moves if m == "utf-8"]
         self.hints = {w: _hint(w) for w in charsets}
@@ -349,9 +351,11 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     legacy = distinct.filter(F.col("t").rlike(r"\+[A-Za-z0-9+/]{3}|[\x{80}-\x{ff}\x{152}-\x{17e}\x{192}\x{2013}-\x{203a}]{4,}") & ~F.col("t").rlike(r"[\x{400}-\x{1fff}\x{3000}-\x{d7ff}]")).select("t")
     exact = spread(legacy, "t").mapInPandas(guess, "t string, meant string, wrong string, twin string").join(distinct.select(F.col("t").alias("twin")), "twin", "left_semi")
     said = spread(pairs, "t").mapInPandas(work, "meant string, wrong string, times int, n bigint").unionAll(exact.select("meant", "wrong", F.lit(1).alias("times"), F.lit(1).cast("bigint").alias("n")))
-    got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).filter(F.col("n") >= VOTES)
-    moves = sorted(got.collect(), key=lambda r: (-r.n, r.meant, r.wrong, r.times))
-    return Model([(r.meant, r.wrong, r.times) for r in moves], chars)
+    # The lists are as short as the catalogue of transformations.
+    got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).collect()
+    total, pairs_ = distinct.count(), sum(r.n for r in got)
+    moves = sorted((r for r in got if r.n >= max(VOTES, VOTE_SHARE * pairs_)), key=lambda r: (-r.n, r.meant, r.wrong, r.times))
+    return Model([(r.meant, r.wrong, r.times) for r in moves], chars, total)
 
 
 def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model) -> DataFrame:
@@ -361,7 +365,7 @@ def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model
     have no damage.
     """
     kind = df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.moves, model.chars))
+    shared = df.sparkSession.sparkContext.broadcast((model.moves, model.chars, model.texts))
     names = list(fields)
     strange = df.select(key, *[c.alias(f) for f, c in fields.items()])
     strange = strange.filter(" OR ".join(f"size(`{f}`) > 0" for f in names))
@@ -431,7 +435,7 @@ def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model,
                         rows.add((left, word))
             yield pd.DataFrame(sorted(rows), columns=["word", "meant"])
 
-    clean = common.filter(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("texts").alias("clean_texts"))
+    clean = common.filter(F.col("n") >= model.least).select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("texts").alias("clean_texts"))
     made = spread(clean.select("meant"), "meant").mapInPandas(forms, "word string, meant string").join(clean, "meant").join(common, "word")
     rare = made.filter((F.col("n") * 4 <= F.col("m")) | (F.col("texts") * 4 <= F.col("clean_texts"))).groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
     return each.join(rare, "word").groupBy(key, "field_name").agg(F.sort_array(F.collect_set("meant")).alias("restored")).select(F.col(key).cast(kind), "field_name", "restored")

@@ -3,7 +3,7 @@
 For each language a suffix automaton holds labelled text. A text is parsed greedily into the longest
 phrases that the automaton has; phrases times the logarithm of the training length, over the text's length, estimate
 the cross entropy. The language that needs the fewest bits wins. A text is cut in two where the parts win
-in different languages, each by a clear margin.
+in different languages, each by a clear margin, and each part likewise.
 
 Labels are often false, so the training text is cleaned first: naive Bayes over letter triples, each text
 left out of its own class, judges the labelled sample, and only texts whose label it confirms stay.
@@ -79,7 +79,13 @@ ur urd urdu
 vi vie vietnamese
 zh zho chi chinese
 """
-CODES = {w: line.split()[0] for line in NAMES.strip().splitlines() for w in line.split()}
+# The other two-letter codes of languages.
+OTHERS = """
+aa ab ae af ak am an as av ay az ba be bi bm bn bo br bs ce ch co cr cu cv dv dz ee eo et eu ff fj fo fy ga gd gn gu gv ha ho hr ht hy hz
+ia ie ig ii ik io is iu jv ka kg ki kj kk kl km kn kr ks ku kv kw ky lb lg li ln lt lu lv mg mh mi mk ml mn ms mt my na nd ng nr nv ny
+oc oj om or os pa pi ps qu rm rn rw sa sc sd se sg si sk sl sm sn so sq sr ss st su ta te tg ti tk tl tn to ts tt tw ty ug uz ve vo wa wo xh yi yo za zu
+"""
+CODES = {w: line.split()[0] for line in NAMES.strip().splitlines() for w in line.split()} | {w: w for w in OTHERS.split()} | {"nb": "no", "nn": "no"}
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _SPLIT = re.compile(r"\s*[|/=;]\s+|\s[–—-]\s|\s*[\[(（]\s*|[.?!]\s+|[。？！]\s*|:\s+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ'’\-]+\.?")
@@ -202,12 +208,14 @@ class Judge:
         return all(a.phrases(text, own / a.bits) * a.bits >= own for x, a in self.by.items() if x != lang)
 
     def parts(self, text: str) -> list[tuple[int, int, str, float]]:
-        """``(start, end, language, confidence)``: one part, or two where the text joins two languages."""
+        """``(start, end, language, confidence)`` of each stretch in one language, in order."""
         if text.count("\ufffd") > sum(map(str.isalpha, text)):
             return []  # too little is left to tell
         one = self.rank(plain(text))
-        if not one:
-            return []
+        return [(a, b, ranked[0][1], self.confidence(x, ranked)) for a, b, x, ranked in self.split(text, 0, one)] if one else []
+
+    def split(self, text: str, at: int, one: list[tuple[float, str]]) -> list[tuple[int, int, str, list[tuple[float, str]]]]:
+        """``(start, end, plain text, ranks)`` of a text's stretches: cut in two where that is best, then each side likewise."""
         best = None
         for m in _SPLIT.finditer(text):
             left, right = text[: m.start()], text[m.end() :]
@@ -222,10 +230,20 @@ class Judge:
             sure = min(other(a, b[0][1]) / a[0][0], other(b, a[0][1]) / b[0][0])
             total = a[0][0] * len(left) + b[0][0] * len(right)
             if sure >= MARGIN and (best is None or total < best[0]):
-                best = total, (0, m.start(), a[0][1], x, a), (m.end(), len(text), b[0][1], y, b)
-        if best:
-            return [(start, end, lang, self.confidence(x, ranked)) for start, end, lang, x, ranked in best[1:]]
-        return [(0, len(text), one[0][1], self.confidence(plain(text), one))]
+                best = total, (left, at, a), (right, at + m.end(), b)
+        if not best:
+            return [(at, at + len(text), plain(text), one)]
+        out = [x for side in best[1:] for x in self.split(*side)]
+        # Stretches of one language that a finer cut has put side by side are one.
+        joined = [out[0]]
+        for x in out[1:]:
+            last = joined[-1]
+            if x[3][0][1] == last[3][0][1]:
+                whole = plain(text[last[0] - at : x[1] - at])
+                joined[-1] = (last[0], x[1], whole, self.rank(whole))
+            else:
+                joined.append(x)
+        return joined
 
 
 def other(ranked: list[tuple[float, str]], lang: str) -> float:

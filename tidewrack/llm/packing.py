@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
 
-#: Ranks within a size are counted in so many independent parts, so that a size shared by a third of all items is no one task's.
+#: Ranks within a size are counted in at least so many independent parts, and in two for each core of the cluster: a size
+#: shared by a third of all items is no one task's.
 SALTS = 64
+#: Steps of the capacity at which threes are looked for: above it the two larger ones are multiples of a step.
+GRID = 2048
 
 
 def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
@@ -36,34 +39,30 @@ def patterns(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...
     """Patterns ``((size, times), ...)`` that fill a container exactly with sizes that occur.
 
     Up to three documents, those of an eighth of the capacity or more, and repeats of one size with at
-    most one other.
+    most one other. Sums are looked up in the histogram, and beyond a capacity of GRID the two larger of three documents
+    are taken in steps, so there are at most GRID * GRID / 2 threes whatever the capacity.
     """
-    there = [int(s) for s in np.flatnonzero(hist) if 0 < s <= capacity]
-    have = set(there)
+    there = np.flatnonzero(hist[: capacity + 1])
+    there = there[there > 0]
     out: set[tuple[tuple[int, int], ...]] = set()
-
-    def add(*sizes: tuple[int, int]) -> None:
-        count: dict[int, int] = {}
-        for s, k in sizes:
-            count[s] = count.get(s, 0) + k
-        out.add(tuple(sorted(count.items(), reverse=True)))
-
-    for s in there:
-        if s == capacity:
-            add((s, 1))
-        for k in range(1, capacity // s + 1):
-            rest = capacity - s * k
-            if rest == 0:
-                add((s, k))
-            elif rest in have and k * s >= capacity // 8:
-                add((s, k), (rest, 1))
-    large = [s for s in there if s >= capacity // 8]
-    for i, a in enumerate(large):
-        for b in large[i:]:
-            if a + 2 * b > capacity:
-                break
-            if capacity - a - b in have:
-                add((a, 1), (b, 1), (capacity - a - b, 1))
+    most = capacity // there if len(there) else there
+    size, times = np.repeat(there, most), np.concatenate([np.arange(1, m + 1) for m in most]) if len(there) else there
+    rest = capacity - size * times
+    for s, k in zip(size[rest == 0].tolist(), times[rest == 0].tolist()):
+        out.add(((s, k),))
+    good = (rest > 0) & (hist[rest] > 0) & (size * times >= capacity // 8)
+    for s, k, r in zip(size[good].tolist(), times[good].tolist(), rest[good].tolist()):
+        out.add(((s, k + 1),) if s == r else tuple(sorted(((s, k), (r, 1)), reverse=True)))
+    step = -(-capacity // GRID)
+    large = there[(there >= capacity // 8) & (there % step == 0)]
+    for a in large.tolist():
+        b = large[(large <= a) & (2 * large >= capacity - a) & (large < capacity - a)]
+        for y, z in zip(b.tolist(), (capacity - a - b).tolist()):
+            if hist[z] > 0:
+                n: dict[int, int] = {}
+                for s in (a, y, z):
+                    n[s] = n.get(s, 0) + 1
+                out.add(tuple(sorted(n.items(), reverse=True)))
     return sorted(out)
 
 
@@ -162,13 +161,14 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     spark = sizes.sparkSession
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
+    salts = max(SALTS, 2 * spark.sparkContext.defaultParallelism)
+    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int")
     items = cut(pieces(sizes, key, size, capacity).withColumn("_salt", salt))
-    # At most capacity x SALTS rows, however many items there are.
+    # At most capacity x salts rows, however many items there are.
     counted = items.filter("size > 0").groupBy("size", "_salt").count().toPandas().sort_values(["size", "_salt"])
     hist = np.zeros(capacity + 1, dtype=np.int64)
     np.add.at(hist, counted["size"].to_numpy(dtype=int), counted["count"].to_numpy(dtype=np.int64))
-    offset = np.zeros((capacity + 1, SALTS), dtype=np.int64)
+    offset = np.zeros((capacity + 1, salts), dtype=np.int64)
     offset[counted["size"].to_numpy(dtype=int), counted["_salt"].to_numpy(dtype=int)] = counted["count"].to_numpy(dtype=np.int64)
     offset = np.cumsum(offset, axis=1) - offset
     runs: list[tuple[int, int, int, int, int]] = []  # size, first rank, first container, items a container, place of the first

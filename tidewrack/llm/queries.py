@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _title_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     works = table(spark, sf_dir, "works")
     damage = _damage_model(works)
-    shared = spark.sparkContext.broadcast((damage.moves, damage.chars))
+    shared = spark.sparkContext.broadcast((damage.moves, damage.chars, damage.texts))
 
     def mend():
         model = encoding.Model(*shared.value)
@@ -56,7 +56,7 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, parts = _title_parts(spark, sf_dir)
     judged = rows.join(parts, rows["title"] == parts["text"])
-    each = judged.select("row_no", language.label_code("language").alias("said"), F.size("parts").alias("n"), F.explode("parts.lang").alias("lang"))
+    each = judged.select("row_no", language.label_code("language").alias("said"), F.size("parts").alias("n"), F.explode(F.array_distinct("parts.lang")).alias("lang"))
     return each.filter((F.col("n") > 1) | ~F.col("said").eqNullSafe(F.col("lang"))).select("row_no", "lang")
 
 
