@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels as L
-from .filters import drop_labels
+from .filters import drop_labels, known_values, year_range
 
 Label = Callable[[Column], Column]
 
@@ -18,8 +18,8 @@ def load_release(df: DataFrame, year: str = "year", trad: str = "research_tradit
     if missing:
         raise ValueError(f"missing columns: {missing}")
     y = F.col(year).cast("string").try_cast("double").cast("int")
-    out = df.withColumn(year, y).filter(F.col(year).between(year_min, year_max))
-    return out.withColumn("trad3", L.tradition(trad)).withColumn("group2", L.tradition_group(trad)).filter("group2 IS NOT NULL")
+    out = year_range(df.withColumn(year, y), year, year_min, year_max)
+    return known_values(out.withColumn("trad3", L.tradition(trad)).withColumn("group2", L.tradition_group(trad)), "group2", ["biological", "comp_or_hybrid"])
 
 
 def value_counts(df: DataFrame, c: str, label: Label | None = None, drop: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

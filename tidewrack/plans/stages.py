@@ -54,6 +54,12 @@ def attached_meta(spark, d):
     return scoring.attach_meta(_annotated(spark, d)).select("row_no", "is_relevant", "relevance_score", "paper_type", "research_tradition", "ai_summary", F.size("domains").alias("n_domains"))
 
 
+def flat_release(spark, d):
+    """Annotated records as release rows."""
+    flat = featurize.flatten_release(scoring.attach_meta(_annotated(spark, d)))
+    return flat.select("year", "research_tradition", "venue", F.array_join("domains", "|").alias("domains"), F.size("species").alias("n_species"))
+
+
 def fitted_prompts(spark, d):
     works = table(spark, d, "works")
     return scoring.fit_prompts(scoring.prompts(featurize.paper_text(works)), BUDGET).select("row_no", "prompt")
@@ -155,7 +161,7 @@ def deduped_output(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        classify, positives, annotate, attached_meta, fitted_prompts, prompts_with_system, bat_categories, raw_features, gz_scan, jsonl_round_trip,
+        classify, positives, annotate, attached_meta, flat_release, fitted_prompts, prompts_with_system, bat_categories, raw_features, gz_scan, jsonl_round_trip,
         index_round_trip, dual_rows, release_table, last_state_lines, rejected_again, seeded_verdicts, deduped_output,
     )
 }
@@ -186,6 +192,8 @@ ORACLES = {
     "annotate": f"WITH {_ANNOTATED} SELECT row_no, oa_id, yes AS is_relevant, CAST(score AS INT) AS relevance_score, said AS summary, CAST(yes AS DOUBLE) AS confidence FROM a",
     "attached_meta": f"""WITH {_ANNOTATED} SELECT row_no, yes AS is_relevant, CAST(score AS INT) AS relevance_score, CASE WHEN yes THEN 'empirical' ELSE 'irrelevant' END AS paper_type,
         'biological' AS research_tradition, said AS ai_summary, CAST(yes AS INT) AS n_domains FROM a""",
+    "flat_release": f"""WITH {_ANNOTATED} SELECT publication_year AS year, 'biological' AS research_tradition, venue, CASE WHEN yes THEN 'Neuroscience' ELSE '' END AS domains, 0 AS n_species
+        FROM a JOIN works USING (row_no)""",
     "fitted_prompts": f"""WITH p AS (SELECT row_no, {_BODY} AS p, left({SQL_ABSTRACT}, 2000) AS a FROM works), n AS (SELECT *, len({_PIECES('p')}) - {BUDGET} AS over, {_PIECES('a')} AS w FROM p)
         SELECT row_no, CASE WHEN over > 0 AND a <> '' THEN replace(p, 'ABSTRACT: ' || a, 'ABSTRACT: ' || array_to_string(w[1:greatest(0, len(w) - over)], '')) ELSE p END AS prompt FROM n""",
     "prompts_with_system": f"SELECT row_no, md5(p) AS digest, CAST(length(p) AS INT) AS n FROM (SELECT row_no, 'Judge the paper.' || chr(10) || chr(10) || {_BODY} AS p FROM works)",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ def get_session(app: str = "tidewrack", cpus: int | str = "*", shuffle_partition
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
@@ -30,15 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
-    ``spark.checkpoint.dir`` as the cluster names it wins. Only where neither it nor a folder on the
-    context is set (tests, a laptop) is a local one made.
+    ``spark.checkpoint.dir`` as the cluster names it wins. Only where neither it nor a folder on the context is set, and
+    everything runs on this machine, is a local one made, which goes when Python ends. On a cluster it must be set.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewrack-ckpt-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidewrack-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,10 +57,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a task beyond which tasks are sized by what comes, not counted by the cores.
+LARGE = 64 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partitioned for Python work: small inputs, which AQE would join into one task, keep all cores busy."""
+    """Hash-partitioned for Python work.
+
+    Small inputs, which adaptive execution would join into one task, keep all cores busy: two tasks a core at least, and
+    as many as a checkpoint below has. Where the files below hold more than LARGE for each core, adaptive execution
+    sizes the tasks by what comes and splits what is skewed. Judged by the plan, without running anything.
+    """
     sc = df.sparkSession.sparkContext
-    return df.repartition(max(sc.defaultParallelism * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = parts = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName() == "LogicalRDD":
+            parts = max(parts, leaf.rdd().getNumPartitions())
+        elif leaf.nodeName().startswith("Relation"):
+            files += int(str(leaf.stats().sizeInBytes()))
+    if files > LARGE * sc.defaultParallelism:
+        return df.hint("rebalance", *keys)
+    return df.repartition(max(sc.defaultParallelism * 2, parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def busy(df: DataFrame, *keys: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields as dataclass_fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.keys import manifest_key, partition_date
+from ..functions.keys import partition_date
 
 #: A raw record. Members whose shape varies are VARIANT.
 RAW_WORK = """
@@ -138,10 +138,6 @@ def seeded_order(files: DataFrame, seed: int, slots: int, path: str = "path") ->
     return files.withColumn("slot", F.pmod(F.xxhash64(F.col(path), F.lit(seed)), F.lit(slots)).cast("int"))
 
 
-def with_manifest_key(files: DataFrame, path: str = "path") -> DataFrame:
-    return files.withColumn("manifest_key", manifest_key(path))
-
-
 def load_config(path: str, kind: type):
     """A dataclass from a YAML file; an empty file gives the defaults, unknown names are an error."""
     import yaml
