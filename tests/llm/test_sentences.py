@@ -114,12 +114,16 @@ def test_pruned_division_equals_all_spans(table):
             score = x.scores(table).tolist()
             at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
             c = m = 0
-            for start, end, n in x.blocks.tolist():
+            want = []
+            for start, end, n, _ in x.blocks.tolist():
                 if n < 0:
                     continue
                 part = (start, end, at[c : c + n], to[c : c + n], score[c : c + n], x.marks[m : m + n + 1])
-                assert S.divide(*part) == S.divide(*part, prune=False)
+                whole = S.divide(*part, prune=False)
+                assert S.divide(*part) == whole
+                want += [c + k for k in whole]
                 c, m = c + n, m + n + 1
+            assert S.divisions(x, table).nonzero()[0].tolist() == want
 
 
 def test_a_sentence_over_many_abbreviations(table):

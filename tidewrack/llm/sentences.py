@@ -42,6 +42,7 @@ STOPS = ".!?…؟।॥" + WIDE
 CLOSERS = "\"'”’»›)]}）】」』〉》"
 OPENERS = "\"'“‘«‹([{（【「『〈《¿¡„—–-"
 PAIRS = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "【": "】", "‹": "›"}
+_CLOSING = CLOSERS + "“"
 _PAIRED = set(PAIRS) | set(PAIRS.values())
 
 _EOL = re.compile("(?>\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])")
@@ -75,7 +76,8 @@ def trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def norm(word: str) -> str:
-    return _DIGITS("0", word.lower())
+    low = word.lower()
+    return low if low.isalpha() else _DIGITS("0", low)
 
 
 def place(kind: int, word: str) -> int:
@@ -87,7 +89,7 @@ def closing(text: str, a: int, b: int) -> str:
     words = text[max(a, b - 40) : b].rsplit(None, 2)
     w = words[-1] if words else ""
     core = w.rstrip(CLOSERS)
-    if _THAI.search(core) or _NARROW.search(core):
+    if not core.isascii() and (_THAI.search(core) or _NARROW.search(core)):
         return norm(w[-4:])
     word = norm(w[-16:].lstrip("(["))
     if word[:1] == "0" and len(words) > 1 and word.rstrip(CLOSERS) in ("0.", "0"):
@@ -103,10 +105,11 @@ def opening(text: str, a: int, b: int, flat: bool) -> str:
     """
     s = text[a : min(b, a + 40)].lstrip().lstrip(OPENERS).split(None, 1)
     w = s[0] if s else ""
-    if _THAI.match(w):
-        return w[:5]
-    if _NARROW.match(w):
-        return w[:2]
+    if w[:1] >= "\u0e00":
+        if _THAI.match(w):
+            return w[:5]
+        if _NARROW.match(w):
+            return w[:2]
     word = norm(w[:16].rstrip(".,;:!?…”»\"'"))
     return ("~" if flat else "^" if w[:1].isupper() else "") + word
 
@@ -259,7 +262,7 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
         if at >= b:
             break
         stop, after = m[0], text[at]
-        bare = stop.rstrip(CLOSERS + "“")
+        bare = stop if len(stop) == 1 else stop.rstrip(_CLOSING)
         if not bare:
             continue
         wide = bare[-1] in WIDE
@@ -277,15 +280,20 @@ def candidates(text: str, block: Block, flat: bool) -> list[Cut]:
             to += 1
         if to >= b:
             break
-        nxt = first_letters(text, to, b)
+        nxt = text[to : min(b, to + 12)].split(None, 1)[0]
+        if not nxt[0].isalnum():
+            nxt = first_letters(text, to, b)
         lead = text[to]
-        if bare[-1] in "!?؟" or wide:
-            bias += 2.0
-        if bare[-1] in "।॥":
-            bias += 3.0
+        if bare != ".":
+            if bare[-1] in "!?؟" or wide:
+                bias += 2.0
+            if bare[-1] in "।॥":
+                bias += 3.0
         if len(bare) > 1 and bare.strip(".") == "" or bare[-1] == "…":
             bias -= 3.0 if m.start() > a and text[m.start() - 1].isspace() else 0.5
-        if lead in ",;:)]}”»/|" or lead in "—–-" and not (to + 1 < b and text[to + 1].isalnum()):
+        if lead.isalnum():
+            pass
+        elif lead in ",;:)]}”»/|" or lead in "—–-" and not (to + 1 < b and text[to + 1].isalnum()):
             bias -= 5.0
         if nxt.islower() and not flat and lead not in "“«„「『‘":
             bias -= 4.0
@@ -401,7 +409,7 @@ def shape_prior(word: str) -> float:
 class Laid:
     """Documents as numbers: blocks, candidates and the marks between them; all that any later pass needs.
 
-    ``blocks`` has start, end and number of candidates (-1 for a unit that is one sentence), ``ends`` the places of a
+    ``blocks`` has start, end, number of candidates (-1 for a unit that is one sentence) and of marks, ``ends`` the places of a
     running block's last and first word, ``cuts`` at, to and the places of the last word, of the first, and of its
     bare and capital form where capitals say nothing (else -1). ``marks`` has the marks of each piece, a line each.
     """
@@ -423,7 +431,12 @@ class Laid:
         raw = [zlib.decompress(c) for c in cells]
         whole = lambda i, k: np.frombuffer(raw[i], dtype="<i4").reshape(-1, k)
         per = np.frombuffer(raw[0], dtype="<i4")
-        return cls(per, whole(1, 3), whole(2, 2), whole(3, 6), np.frombuffer(raw[4], dtype="<f8"), np.frombuffer(raw[5], dtype="<f8"), raw[6].decode().split("\n"))
+        return cls(per, whole(1, 4), whole(2, 2), whole(3, 6), np.frombuffer(raw[4], dtype="<f8"), np.frombuffer(raw[5], dtype="<f8"), raw[6].decode().split("\n"))
+
+    @property
+    def owner(self) -> np.ndarray:
+        """The block of each candidate."""
+        return np.repeat(np.arange(len(self.blocks)), np.maximum(self.blocks[:, 2], 0))
 
     def scores(self, table: Table) -> np.ndarray:
         """What each candidate adds to a division that uses it."""
@@ -439,9 +452,30 @@ def counted(word: str) -> str:
     return word.replace("~", "=", 1) if word[:1] == "~" else word
 
 
+class Words(dict):
+    """Places of words met before: of a kind and a word, and for last words what their look says as well."""
+
+    def __missing__(self, key: tuple[int, str]) -> tuple:
+        kind, word = key
+        if kind == END:
+            got = place(END, word), shape_prior(word)
+        elif word[:1] == "~":
+            got = place(OPEN, counted(word)), place(OPEN, word[1:]), place(OPEN, "^" + word[1:])
+        else:
+            got = place(OPEN, word), -1, -1
+        if len(self) > 500_000:
+            self.clear()
+        self[key] = got
+        return got
+
+
+_WORDS = Words()
+
+
 def lay(texts: list[str | None]) -> Laid:
     """Null, empty and blank texts have no blocks."""
     per, blocks, ends, cuts, bias, prior, marks = [], [], [], [], [], [], []
+    words = _WORDS
     for text in texts:
         before = len(blocks)
         if text and text.strip("﻿ \t\r\n"):
@@ -449,22 +483,25 @@ def lay(texts: list[str | None]) -> Laid:
             for block in layout(text):
                 a, b = trim(text, block.start, block.end)
                 if block.whole:
-                    blocks.append((a, b, -1))
+                    blocks.append((a, b, -1, 0))
                     continue
                 low = flat or flat_block(text, block)
                 found = candidates(text, block, low)
-                blocks.append((a, b, len(found)))
-                ends.append((place(END, closing(text, a, b)), place(OPEN, counted(opening(text, a, b, low)))))
+                ends.append((words[END, closing(text, a, b)][0], words[OPEN, opening(text, a, b, low)][0]))
+                at = block.start
+                held = _MARKS(text, at, block.end)
                 for c in found:
-                    bare = c.open[1:] if c.open[:1] == "~" else None
-                    cuts.append((c.at, c.to, place(END, c.end), place(OPEN, counted(c.open)), -1 if bare is None else place(OPEN, bare), -1 if bare is None else place(OPEN, "^" + bare)))
+                    end, look = words[END, c.end]
+                    cuts.append((c.at, c.to, end, *words[OPEN, c.open]))
                     bias.append(c.bias)
-                    prior.append(shape_prior(c.end))
-                starts = [block.start, *(c.to for c in found)]
-                marks += ["".join(_MARKS(text[x:y])) for x, y in zip(starts, [*(c.at for c in found), block.end])]
+                    prior.append(look)
+                    marks.append("".join(_MARKS(text, at, c.at)) if held else "")
+                    at = c.to
+                marks.append("".join(_MARKS(text, at, block.end)) if held else "")
+                blocks.append((a, b, len(found), len(held)))
         per.append(len(blocks) - before)
     grid = lambda x, k: np.array(x, dtype=np.int64).reshape(-1, k)
-    return Laid(np.array(per, dtype=np.int64), grid(blocks, 3), grid(ends, 2), grid(cuts, 6), np.array(bias, dtype=float), np.array(prior, dtype=float), marks)
+    return Laid(np.array(per, dtype=np.int64), grid(blocks, 4), grid(ends, 2), grid(cuts, 6), np.array(bias, dtype=float), np.array(prior, dtype=float), marks)
 
 
 def divide(start: int, end: int, at: list[int], to: list[int], score: list[float], pieces: list[str], prune: bool = True) -> list[int]:
@@ -521,29 +558,52 @@ def divide(start: int, end: int, at: list[int], to: list[int], score: list[float
     return out[::-1]
 
 
-def divisions(x: Laid, table: Table) -> Iterator[tuple[int, int, int, list[int]]]:
-    """``(block, first candidate, start, used)`` of every block that is no unit: the candidates its best division uses."""
-    score = x.scores(table).tolist()
-    at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
-    c = m = 0
-    for i, (start, end, n) in enumerate(x.blocks.tolist()):
-        if n >= 0:
-            yield i, c, start, [c + k for k in divide(start, end, at[c : c + n], to[c : c + n], score[c : c + n], x.marks[m : m + n + 1])]
-            c, m = c + n, m + n + 1
+def stretches(x: Laid, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(block, start, end)`` of all blocks' spans when these candidates are used."""
+    many = np.bincount(x.owner[used], minlength=len(x.blocks))
+    block = np.repeat(np.arange(len(x.blocks)), many + 1)
+    last = np.cumsum(many + 1) - 1
+    start, end = np.empty(len(block), dtype=np.int64), np.empty(len(block), dtype=np.int64)
+    inner = np.ones(len(block), dtype=bool)
+    inner[last - many] = False
+    start[last - many], start[inner] = x.blocks[:, 0], x.cuts[used, 1]
+    inner[:] = True
+    inner[last] = False
+    end[last], end[inner] = x.blocks[:, 1], x.cuts[used, 0]
+    return block, start, end
+
+
+def divisions(x: Laid, table: Table) -> np.ndarray:
+    """Which candidates the best divisions of all blocks use.
+
+    Spans only ever cost. So where a block has no marks and the candidates that add something cut it into spans that cost
+    nothing, these are the best division; all other blocks are divided one by one.
+    """
+    score = x.scores(table)
+    used = score > 0
+    if not len(x.blocks):
+        return used
+    _, start, end = stretches(x, used)
+    free = (end - start >= 4) & (end - start <= 600)
+    many = np.bincount(x.owner[used], minlength=len(x.blocks)) + 1
+    hard = (x.blocks[:, 2] > 0) & ((x.blocks[:, 3] > 0) | ~np.logical_and.reduceat(free, np.cumsum(many) - many))
+    if hard.any():
+        used[hard[x.owner]] = False
+        n = np.maximum(x.blocks[:, 2], 0)
+        cut_at, mark_at = np.cumsum(n) - n, np.cumsum(x.blocks[:, 2] + 1) - x.blocks[:, 2] - 1
+        for i in np.flatnonzero(hard).tolist():
+            c, m, k = cut_at[i], mark_at[i], n[i]
+            got = divide(int(x.blocks[i, 0]), int(x.blocks[i, 1]), x.cuts[c : c + k, 0].tolist(), x.cuts[c : c + k, 1].tolist(), score[c : c + k].tolist(), x.marks[m : m + k + 1])
+            used[c + np.array(got, dtype=np.int64)] = True
+    return used
 
 
 def spans(x: Laid, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(document, start, end)`` of every sentence, documents by their place."""
-    used = {i: u for i, _, _, u in divisions(x, table)}
-    docs = np.repeat(np.arange(len(x.per)), x.per).tolist()
-    at, to = x.cuts[:, 0].tolist(), x.cuts[:, 1].tolist()
-    doc, first, last = [], [], []
-    for i, (start, end, n) in enumerate(x.blocks.tolist()):
-        ks = used[i] if n > 0 else []
-        for a, b in zip([start, *(to[k] for k in ks)], [*(at[k] for k in ks), end]):
-            if b > a:
-                doc.append(docs[i]), first.append(a), last.append(b)
-    return np.array(doc, dtype=np.int64), np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
+    block, start, end = stretches(x, divisions(x, table))
+    doc = np.repeat(np.arange(len(x.per)), x.per)[block]
+    good = end > start
+    return doc[good], start[good], end[good]
 
 
 def sentences(text: str | None, table: Table) -> list[tuple[int, int]]:
@@ -567,8 +627,7 @@ def observe(x: Laid, table: Table | None) -> np.ndarray:
         all_ += sure
         out[2 * DIM] = len(x.ends)
     else:
-        used = [k for *_, u in divisions(x, table) for k in u]
-        yes += np.bincount(words[used].ravel(), minlength=DIM)
+        yes += np.bincount(words[divisions(x, table)].ravel(), minlength=DIM)
     out[2 * DIM + 1] = len(x.cuts)
     return out
 
