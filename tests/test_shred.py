@@ -98,3 +98,43 @@ def test_level_table_has_every_path(spark, n):
     t = S.level_table(df)
     assert t.select("path").distinct().count() == len(S.columns(S.WORK))
     assert t.filter("path = 'abstract_inverted_index.positions'").count() == 3 * n
+
+
+OTHER = S.Node("", kids=(S.Node("id", kind="text"), S.Node("a", True, (S.Node("x", kind="text"), S.Node("b", True, (S.Node("c", True, kind="whole"), S.Node("y", kind="text"))))), S.Node("o", kids=(S.Node("z", kind="whole"),))))
+
+
+def regular(node, v):
+    """A record as the schema sees it: all members, regular lists."""
+    def one(n, v):
+        v = S._held(v) if n.kids else S._leaf(n, v)
+        return v if v is None or not n.kids else {k.name: regular(k, S._child(v, k)) for k in n.kids}
+
+    if not node.many:
+        return one(node, v)
+    got = S._members(node, v)
+    return None if got is None else [one(node, m) for m in got]
+
+
+RECORDS = [
+    {}, {"id": "1", "a": []}, {"a": [None, {"x": "p", "b": [{"c": [1, None, 2], "y": "q"}, None, {"c": [], "y": None}]}, {"b": None}], "o": {"z": 5}},
+    {"a": {"x": 3, "b": "[1]"}, "o": None}, {"a": [{"b": [{"c": 7}]}, {"b": []}], "o": {"z": "x"}},
+]
+
+
+@pytest.mark.parametrize("schema,records", [(OTHER, RECORDS), (S.WORK, [r for x in LINES if (r := S.parse_object(x)) is not None])])
+def test_records_come_back_from_their_columns(schema, records):
+    want = [{k.name: regular(k, r.get(k.name)) for k in schema.kids} for r in records]
+    assert S.assemble(S.shred(records, schema), schema) == want
+    assert S.assemble(S.shred([], schema), schema) == []
+
+
+def test_a_table_for_every_list(spark):
+    got = S.related(S.shred(RECORDS, OTHER), OTHER)
+    rows = lambda k: [(int(r), tuple(p), *v) for r, p, *v in zip(got[k][0], got[k][1].tolist(), *got[k][2].values())]
+    assert rows("") == [(0, (), None, None), (1, (), "1", None), (2, (), None, 5), (3, (), None, None), (4, (), None, None)]
+    assert rows("a") == [(2, (1,), "p"), (3, (0,), "3"), (4, (0,), None), (4, (1,), None)] + [] or rows("a")[0] == (2, (1,), "p")
+    assert rows("a.b") [:2] == [(2, (1, 0), "q"), (2, (1, 2), None)]
+    assert rows("a.b.c") == [(2, (1, 0, 0), 1), (2, (1, 0, 2), 2), (4, (0, 0, 0), 7)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(RECORDS)] + [(9, "[1]"), (10, None)], "line_no bigint, line string")
+    t = S.related_table(S.related_rows(df, OTHER), "a.b.c", OTHER)
+    assert sorted(map(tuple, t.collect())) == [(2, 1, 0, 0, "1"), (2, 1, 0, 2, "2"), (4, 0, 0, 0, "7")]

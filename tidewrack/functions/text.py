@@ -11,8 +11,13 @@ _WS = r"[\s\x1c-\x1f]"
 
 
 def py_strip(c: Column | str) -> Column:
-    """Trim Unicode white space at both ends (``trim`` takes spaces only). Null stays null."""
-    return F.regexp_replace(_col(c), rf"(?U)^{_WS}+|{_WS}+$", "")
+    """Trim Unicode white space at both ends (``trim`` takes spaces only). Null stays null.
+
+    The pattern only runs over values that begin or end with white space.
+    """
+    c = _col(c)
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(rf"(?U){_WS}"), F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")).otherwise(c)
 
 
 def strip_lower(c: Column | str) -> Column:

@@ -2,8 +2,9 @@
 
 A record is taken apart into one column per leaf path. Each entry of a column carries a repetition level
 (which list went on) and a definition level (how far down the path something was there), so the columns
-alone say which entry belongs to which parent. ``tables`` puts flat tables back together, one per
-repeated ancestor, from the level sequences only: ordinals are running counts over repetition levels.
+alone say which entry belongs to which parent. ``related`` puts flat tables back together, one per
+repeated ancestor of any schema, from the level sequences only: ordinals are running counts over repetition levels.
+``tables`` gives the children of a bibliographic record with their keys, and ``assemble`` the records themselves.
 
 A ``Node`` is a field. ``many`` makes it a list whose members may be null; every node may be absent.
 Shapes are made regular on the way in: text that holds a JSON list or object where one belongs is read, a
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 STEP = 512
 INT_MAX = 2**31 - 1
@@ -223,6 +224,130 @@ def _take(x: Levels, keep: np.ndarray) -> Levels:
     return Levels(x.rec[keep], x.ord1[keep], x.ord2[keep], x.defs[keep], x.vals[keep])
 
 
+def repeated(schema: Node) -> dict[tuple[str, ...], tuple[int, int, list[tuple[str, ...]]]]:
+    """Of the root and each list of a schema: how many lists lead to it, the level of its members that are not null, and
+    the leaf paths that its members have once each."""
+    out: dict[tuple[str, ...], tuple[int, int, list[tuple[str, ...]]]] = {(): (0, 0, [])}
+
+    def walk(node: Node, path: tuple[str, ...], owner: tuple[str, ...], level: int) -> None:
+        here, level = (*path, node.name), level + (3 if node.many else 1)
+        if node.many:
+            out[here] = (out[owner][0] + 1, level, [])
+            owner = here
+        if not node.kids:
+            out[owner][2].append(here)
+        for kid in node.kids:
+            walk(kid, here, owner, level)
+
+    for kid in schema.kids:
+        walk(kid, (), (), 0)
+    return out
+
+
+def places(reps: np.ndarray, depth: int) -> np.ndarray:
+    """Of each entry its place in each of the lists that lead to it, outermost first, from repetition levels alone."""
+    i = np.arange(len(reps))
+    out = np.zeros((len(reps), depth), dtype=np.int64)
+    for k in range(1, depth + 1):
+        begun = np.cumsum(reps <= k)
+        parent = np.maximum.accumulate(np.where(reps < k, i, 0)) if len(reps) else i
+        out[:, k - 1] = begun - begun[parent]
+    return out
+
+
+def related(cols: list[Column], schema: Node) -> dict[str, tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """A flat table for the root and each list: records, places in the lists that lead there, and the values of each leaf.
+
+    Members that are null have no row but keep their place. Lists whose members hold nothing but lists have no table.
+    """
+    by = {c.path: c for c in cols}
+    out = {}
+    for path, (depth, level, leaves) in repeated(schema).items():
+        if not leaves:
+            continue
+        first = by[leaves[0]]
+        reps, defs = np.asarray(first.reps, dtype=np.int64), np.asarray(first.defs, dtype=np.int64)
+        values = {}
+        for leaf in leaves:
+            vals = np.empty(len(reps), dtype=object)
+            vals[:] = by[leaf].vals
+            values[".".join(leaf[len(path) :]) or leaf[-1]] = vals
+            defs = np.maximum(defs, by[leaf].defs)
+        keep = defs >= level
+        out[".".join(path)] = ((np.cumsum(reps == 0) - 1)[keep], places(reps, depth)[keep], {k: v[keep] for k, v in values.items()})
+    return out
+
+
+def assemble(cols: list[Column], schema: Node) -> list[dict]:
+    """The records back from levels and values: objects with all members of the schema, absent ones null."""
+    by = {c.path: c for c in cols}
+
+    def leaves(node: Node, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        here = (*path, node.name)
+        return [x for kid in node.kids for x in leaves(kid, here)] if node.kids else [here]
+
+    def read(node: Node, path: tuple[str, ...], at: dict, depth: int, level: int):
+        if not node.many:
+            return one(node, path, at, depth, level)
+        under = leaves(node, path)
+        d = by[under[0]].defs[at[under[0]][0]]
+        if d <= level + 1:
+            return None if d <= level else []
+        begins = {p: [at[p][0], *(i for i in range(at[p][0] + 1, at[p][1]) if by[p].reps[i] <= depth + 1), at[p][1]] for p in under}
+        return [one(node, path, {p: (b[i], b[i + 1]) for p, b in begins.items()}, depth + 1, level + 2) for i in range(len(begins[under[0]]) - 1)]
+
+    def one(node: Node, path: tuple[str, ...], at: dict, depth: int, level: int):
+        here = (*path, node.name)
+        if not node.kids:
+            i = at[here][0]
+            return by[here].vals[i] if by[here].defs[i] > level else None
+        first = leaves(node, path)[0]
+        if by[first].defs[at[first][0]] <= level:
+            return None
+        return {kid.name: read(kid, here, at, depth, level + 1) for kid in node.kids}
+
+    begins = {c.path: [i for i, r in enumerate(c.reps) if r == 0] + [len(c.reps)] for c in cols}
+    n = len(next(iter(begins.values()))) - 1 if begins else 0
+    return [{kid.name: read(kid, (), {p: (b[i], b[i + 1]) for p, b in begins.items()}, 0, 0) for kid in schema.kids} for i in range(n)]
+
+
+RELATED = "line_no bigint, table string, places array<int>, fields map<string,string>"
+
+
+def related_rows(lines: DataFrame, schema: Node = WORK, line_no: str = "line_no", line: str = "line") -> DataFrame:
+    """Rows of all tables of ``related`` in one pass: ``(line_no, table, places, fields)``; ``related_table`` picks one.
+
+    Lines that are not exactly one JSON object give no rows.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                pairs = [(n, r) for n, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if (r := parse_object(x)) is not None]
+                if not pairs:
+                    continue
+                numbers = np.array([n for n, _ in pairs], dtype=object)
+                for name, (rec, place, values) in related(shred([r for _, r in pairs], schema), schema).items():
+                    fields = [[(k, None if v is None else str(v)) for k, v in zip(values, row)] for row in zip(*values.values())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(numbers[rec].tolist(), pa.int64()), pa.array([name] * len(rec), pa.string()), pa.array(place.tolist(), pa.list_(pa.int32())), pa.array(fields, pa.map_(pa.string(), pa.string()))],
+                        names=["line_no", "table", "places", "fields"],
+                    )
+
+    return lines.select(line_no, line).mapInArrow(work, RELATED)
+
+
+def related_table(rows: DataFrame, name: str, schema: Node = WORK) -> DataFrame:
+    """The flat table of one list: ``line_no``, the place in each list that leads to it, and a column a leaf."""
+    path = tuple(name.split(".")) if name else ()
+    depth, _, leaves = repeated(schema)[path]
+    lists = [".".join(path[: i + 1]) for i in range(len(path)) if path[: i + 1] in repeated(schema)]
+    one = rows.filter(F.col("table") == name)
+    relative = [".".join(x[len(path) :]) or x[-1] for x in leaves]
+    return one.select("line_no", *[F.col("places")[i].alias(f"{lists[i]}_place") for i in range(depth)], *[F.col("fields")[k].alias(k) for k in relative])
+
+
 CHILDREN = pa.schema([("line_no", pa.int64()), ("child", pa.string()), ("ord1", pa.int32()), ("ord2", pa.int32()), ("child_key", pa.string())])
 
 

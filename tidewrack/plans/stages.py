@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys, model_json as M, records as R, vocab
-from ..operators import dedup, featurize, filters, reports, scoring, state
+from ..operators import dedup, featurize, filters, reports, scoring, shred, state
 from ..session import ensure_checkpoint_dir, table
 from ..sources import readers, sinks
 from . import pipeline
-from .changes import SQL_KEY, SQL_SPACE, sql_strip
+from .changes import SQL_KEY, SQL_SPACE, _each, sql_strip
 from .curation import _KEYWORDS, _NEWEST_OA, ORACLES as CURATION, SQL_ABSTRACT, SQL_OA, SQL_TITLE, _in
 from .release import ORACLES as RELEASE
 
@@ -87,6 +87,13 @@ def raw_features(spark, d):
     return kept.select("line_no", R.topic_field("primary_topic").alias("field"), R.name_of("primary_topic").alias("topic"), F.array_join(R.names_list("keywords"), "|").alias("keywords"), F.col("reject_reason").isNotNull().alias("out_of_years"))
 
 
+def institution_rows(spark, d):
+    """The flat table of institutions with all their members, tied to line and author."""
+    rows = shred.related_rows(table(spark, d, "raw_works"))
+    t = shred.related_table(rows, "authorships.institutions")
+    return t.select("line_no", F.col("`authorships_place`").alias("author"), F.col("`authorships.institutions_place`").alias("place"), "id", "display_name", "name")
+
+
 def gz_scan(spark, d):
     """Lines written as compressed files, found by listing, the files in a seeded order, and scanned."""
     at = _folder(spark, "gz")
@@ -161,7 +168,7 @@ def deduped_output(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        classify, positives, annotate, attached_meta, flat_release, fitted_prompts, prompts_with_system, bat_categories, raw_features, gz_scan, jsonl_round_trip,
+        classify, positives, annotate, attached_meta, flat_release, fitted_prompts, prompts_with_system, bat_categories, raw_features, institution_rows, gz_scan, jsonl_round_trip,
         index_round_trip, dual_rows, release_table, last_state_lines, rejected_again, seeded_verdicts, deduped_output,
     )
 }
@@ -184,6 +191,7 @@ _ANNOTATED = f"""{_SCORED},
 
 _NAME = lambda x: f"""CASE json_type({x}) WHEN 'VARCHAR' THEN ({x}->>'$') WHEN 'OBJECT' THEN coalesce({", ".join(f"CASE WHEN json_type({x}->'{k}') = 'VARCHAR' THEN ({x}->>'{k}') END" for k in ('display_name', 'name', 'label', 'title'))}, '')
     WHEN 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(CAST({x} AS JSON[]), lambda m: json_type(m) = 'VARCHAR'), lambda m: (m->>'$')), '; '), '') ELSE '' END"""
+_TEXT = lambda k: f"CASE WHEN json_type(x) = 'OBJECT' AND json_type(x->'{k}') IN ('VARCHAR', 'BIGINT', 'UBIGINT') THEN (x->>'{k}') END"
 _NAMED = _NAME("(k)").replace("\n", " ")
 
 ORACLES = {
@@ -204,6 +212,10 @@ ORACLES = {
         SELECT line_no, {sql_strip(f"coalesce(nullif({_NAME('tf')}, ''), nullif({_NAME('ts')}, ''), CASE WHEN json_type(t) = 'VARCHAR' THEN (t->>'$') END, '')")} AS field, {_NAME('t')} AS topic,
             CASE WHEN json_type(k) = 'ARRAY' THEN array_to_string(list_filter(list_transform((CAST(k AS JSON[]))[1:8], lambda k: {sql_strip(_NAMED)}), lambda s: s IS NOT NULL AND s <> ''), '|') ELSE '' END AS keywords,
             coalesce(json_type(y) IN ('BIGINT', 'UBIGINT') AND CAST(y AS BIGINT) NOT BETWEEN 1950 AND 2026, false) AS out_of_years FROM f""",
+    "institution_rows": f"""WITH v AS (SELECT line_no, {sql_strip('line')} AS t FROM raw_works), l AS (SELECT line_no, t::JSON AS j FROM v WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
+        a AS ({_each('l', "(j->'authorships')", 'line_no')}),
+        i AS ({_each("(SELECT line_no, o AS ao, x AS a FROM a WHERE json_type(x) = 'OBJECT')", "(a->'institutions')", 'line_no', 'ao')})
+        SELECT line_no, CAST(ao AS INT) AS author, CAST(o AS INT) AS place, {_TEXT('id')} AS id, {_TEXT('display_name')} AS display_name, CASE WHEN json_type(x) = 'VARCHAR' THEN (x->>'$') END AS name FROM i""",
     "gz_scan": f"SELECT id, doi, language FROM ({CURATION['scan_raw']})",
     "jsonl_round_trip": "SELECT rec_no, oa_id, year, venue, CASE WHEN species IS NOT NULL THEN coalesce(array_to_string(species, '|'), '') END AS species FROM final_relevant",
     "index_round_trip": f"SELECT id, doi, title, publication_year FROM works WHERE {SQL_KEY} IS NOT NULL",
