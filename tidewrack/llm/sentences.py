@@ -75,9 +75,22 @@ def trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+class Norms(dict):
+    """Words as they are counted: in small letters, numbers as 0."""
+
+    def __missing__(self, word: str) -> str:
+        low = word.lower()
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = low if low.isalpha() else _DIGITS("0", low)
+        return got
+
+
+_NORMS = Norms()
+
+
 def norm(word: str) -> str:
-    low = word.lower()
-    return low if low.isalpha() else _DIGITS("0", low)
+    return _NORMS[word]
 
 
 def place(kind: int, word: str) -> int:
@@ -114,7 +127,7 @@ def opening(text: str, a: int, b: int, flat: bool) -> str:
     return ("~" if flat else "^" if w[:1].isupper() else "") + word
 
 
-@dataclass
+@dataclass(slots=True)
 class Cut:
     """A place that may end a sentence: the text before ``at`` ends there, the next begins at ``to``."""
 
@@ -612,23 +625,29 @@ def sentences(text: str | None, table: Table) -> list[tuple[int, int]]:
     return list(zip(a.tolist(), b.tolist()))
 
 
-def observe(x: Laid, table: Table | None) -> np.ndarray:
+def observe(parts: Iterator[Laid], table: Table | None, most: int = 1 << 22) -> np.ndarray:
     """Words at certain ends and starts (no table yet) or at those of the division by a table, then words at all candidates.
 
-    Behind them stand the numbers of paragraph ends and of candidates, for the share of the one in the other.
+    Behind them stand the numbers of paragraph ends and of candidates, for the share of the one in the other. Places are
+    counted when ``most`` of them have come together.
     """
     out = np.zeros(2 * DIM + 2, dtype=np.int64)
-    yes, all_ = out[:DIM], out[DIM : 2 * DIM]
-    words = x.cuts[:, 2:4]
-    all_ += np.bincount(words.ravel(), minlength=DIM)
-    if table is None:
-        sure = np.bincount(x.ends.ravel(), minlength=DIM)
-        yes += sure
-        all_ += sure
-        out[2 * DIM] = len(x.ends)
-    else:
-        yes += np.bincount(words[divisions(x, table)].ravel(), minlength=DIM)
-    out[2 * DIM + 1] = len(x.cuts)
+    held: list[np.ndarray] = []
+
+    def count_up() -> None:
+        if held:
+            out[: 2 * DIM] += np.bincount(np.concatenate(held), minlength=2 * DIM)
+            held.clear()
+
+    for x in parts:
+        words = x.cuts[:, 2:4]
+        sure = x.ends if table is None else words[divisions(x, table)]
+        # A paragraph's end is no candidate, so there it counts on both sides.
+        held += [sure.ravel(), words.ravel().astype(np.int64) + DIM, *([x.ends.ravel().astype(np.int64) + DIM] if table is None else [])]
+        out[2 * DIM :] += (len(x.ends) if table is None else 0, len(x.cuts))
+        if sum(map(len, held)) >= most:
+            count_up()
+    count_up()
     return out
 
 
@@ -663,10 +682,7 @@ def count(laid: DataFrame, table: Table | None) -> Table:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(*shared.value) if shared.value else None
-        sums = np.zeros(2 * DIM + 2, dtype=np.int64)
-        for b in batches:
-            for cells in zip(*(c.to_pylist() for c in b.columns)):
-                sums += observe(Laid.unpack(cells), t)
+        sums = observe((Laid.unpack(cells) for b in batches for cells in zip(*(c.to_pylist() for c in b.columns))), t)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
 
