@@ -72,3 +72,25 @@ def test_copies_of_a_damaged_text_weigh_one(spark):
     fields = {"title": E.strange_text("title"), "abstract_inverted_index": E.strange_words("abstract_inverted_index")}
     got = E.find_lossy(df, "row_no", fields, model(), {"abstract_inverted_index": E.whole_index("abstract_inverted_index")}).collect()
     assert sorted((r.row_no, r.field_name, *r.restored) for r in got) == sorted(x for i in range(100, 140) for x in [(i, "title", "Río"), (i, "abstract_inverted_index", "Bahía")])
+
+
+@pytest.mark.parametrize("charset", ["cp855", "mac_cyrillic", "cp1256", "made up"])
+def test_charsets_that_are_in_no_list(spark, charset):
+    """A charset outside the catalogue is read off the characters that twins align with bytes."""
+    if charset == "made up":
+        broken = lambda t: "".join(chr(0x10A0 + (37 * (b - 128)) % 128) if b > 127 else chr(b) for b in t.encode())
+    else:
+        broken = lambda t: E.misread(t, "utf-8", charset)
+    assert charset not in E.WRONG
+    places = ["Señal Alta", "Pântanu", "Kåsøya", "Größenau", "São Brélio", "Île-Morvé", "Žatinov", "Øvreholm"]
+    rows = []
+    for i, p in enumerate(places):
+        for k in range(4):
+            clean = f"visit {k} to {p} in year {i}"
+            rows += [(clean,), (broken(clean),)] if k < 3 else [(broken(clean),)]
+    model = E.learn(spark.createDataFrame(rows, "text string"))
+    assert ("utf-8", E.ALIGNED, 1) in model.moves
+    for i, p in enumerate(places):
+        clean = f"visit 3 to {p} in year {i}"
+        assert model.repair(broken(clean)) == (True, clean)
+        assert model.repair(clean) == (False, clean)

@@ -2,8 +2,10 @@
 
 Damage leaves ASCII alone. So a garbled text and a clean near-twin agree once everything non-ASCII is
 stripped, and their non-ASCII runs face each other: aligned runs vote for the transformation that turns
-the clean run into the garbled one. Transformations with enough votes are applied to all other records. A
-repair only counts if the characters it gives are ones that the corpus uses.
+the clean run into the garbled one. Known charsets are tried first; where none explains a run, its characters
+are aligned with the bytes of the clean one, and what they agree on is a charset of its own. Transformations with
+enough votes are applied to all other records. A repair only counts if the characters it gives are ones that the
+corpus uses.
 """
 
 from __future__ import annotations
@@ -76,8 +78,21 @@ def skeleton(c: Column) -> Column:
     return F.when(F.length(F.regexp_replace(s, "[^A-Za-z]", "")) >= 3, s)
 
 
+#: Name of the charset that is made of aligned characters only.
+ALIGNED = "aligned"
+
+
+def table_from(aligned: dict[int, str]) -> None:
+    """Make the charset of aligned characters known; bytes never seen stand for characters that no text has."""
+    chars = [chr(i) if i < 128 else aligned.get(i, chr(0xF0000 + i)) for i in range(256)]
+    _TABLES[ALIGNED] = chars, {c: i for i, c in enumerate(chars)}
+
+
 def votes(garbled: str, clean: str) -> set[tuple[str, str, int]]:
-    """``(meant, wrong, times)`` that explain some aligned run of the pair; times 2 is the same mistake made twice."""
+    """``(meant, wrong, times)`` that explain some aligned run of the pair; times 2 is the same mistake made twice.
+
+    A run that none explains, but that has a character for each byte of the clean one, votes for these: ``("?", byte, character)``.
+    """
     out: set[tuple[str, str, int]] = set()
     a, b = _RUN.findall(garbled), _RUN.findall(clean)
     if len(a) != len(b):
@@ -85,6 +100,7 @@ def votes(garbled: str, clean: str) -> set[tuple[str, str, int]]:
     for g, c in zip(a, b):
         if g == c or "\ufffd" in g or len(g) < len(c):
             continue
+        before = len(out)
         for meant in MEANT:
             if meant != "utf-8" and len(g) < 4:
                 continue
@@ -94,6 +110,9 @@ def votes(garbled: str, clean: str) -> set[tuple[str, str, int]]:
                     out.add((meant, wrong, 1))
                 elif x is not None and meant == "utf-8" and misread(x, meant, wrong) == g:
                     out.add((meant, wrong, 2))
+        raw = c.encode("utf-8", "surrogatepass")
+        if len(out) == before and len(raw) == len(g):
+            out |= {("?", f"{b:02x}", ord(x)) for b, x in zip(raw, g)}
     return out
 
 
@@ -145,8 +164,15 @@ class Model:
     moves: list[tuple[str, str, int]]
     chars: dict[str, int]
     texts: int = 0
+    aligned: dict[int, str] | None = None
+
+    def args(self) -> tuple:
+        """What makes the same model in a worker."""
+        return self.moves, self.chars, self.texts, self.aligned
 
     def __post_init__(self) -> None:
+        if self.aligned:
+            table_from(self.aligned)
         self.least = max(KNOWN, math.ceil(KNOWN_SHARE * self.texts))
         self.known = {c for c, n in self.chars.items() if n >= self.least and not "\x80" <= c <= "\x9f" and c != "\ufffd"}
         self.blocks = {_block(c) for c in self.known}
@@ -351,11 +377,19 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     legacy = distinct.filter(F.col("t").rlike(r"\+[A-Za-z0-9+/]{3}|[\x{80}-\x{ff}\x{152}-\x{17e}\x{192}\x{2013}-\x{203a}]{4,}") & ~F.col("t").rlike(r"[\x{400}-\x{1fff}\x{3000}-\x{d7ff}]")).select("t")
     exact = spread(legacy, "t").mapInPandas(guess, "t string, meant string, wrong string, twin string").join(distinct.select(F.col("t").alias("twin")), "twin", "left_semi")
     said = spread(pairs, "t").mapInPandas(work, "meant string, wrong string, times int, n bigint").unionAll(exact.select("meant", "wrong", F.lit(1).alias("times"), F.lit(1).cast("bigint").alias("n")))
-    # The lists are as short as the catalogue of transformations.
+    # As many rows as the catalogue has transformations, and bytes times characters of the alphabet.
     got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).collect()
-    total, pairs_ = distinct.count(), sum(r.n for r in got)
-    moves = sorted((r for r in got if r.n >= max(VOTES, VOTE_SHARE * pairs_)), key=lambda r: (-r.n, r.meant, r.wrong, r.times))
-    return Model([(r.meant, r.wrong, r.times) for r in moves], chars, total)
+    total, named = distinct.count(), [r for r in got if r.meant != "?"]
+    least = max(VOTES, VOTE_SHARE * sum(r.n for r in named))
+    moves = sorted((r for r in named if r.n >= least), key=lambda r: (-r.n, r.meant, r.wrong, r.times))
+    moves = [(r.meant, r.wrong, r.times) for r in moves]
+    aligned: dict[int, str] = {}
+    for r in sorted((r for r in got if r.meant == "?" and r.n >= least), key=lambda r: (-r.n, r.wrong, r.times)):
+        if chr(r.times) not in aligned.values():
+            aligned.setdefault(int(r.wrong, 16), chr(r.times))
+    if any(b >= 0xC2 for b in aligned) and any(b < 0xC0 for b in aligned):
+        moves.append(("utf-8", ALIGNED, 1))
+    return Model(moves, chars, total, aligned)
 
 
 def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model) -> DataFrame:
@@ -365,7 +399,7 @@ def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model
     have no damage.
     """
     kind = df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.moves, model.chars, model.texts))
+    shared = df.sparkSession.sparkContext.broadcast(model.args())
     names = list(fields)
     strange = df.select(key, *[c.alias(f) for f, c in fields.items()])
     strange = strange.filter(" OR ".join(f"size(`{f}`) > 0" for f in names))
@@ -415,7 +449,7 @@ def find_lossy(df: DataFrame, key: str, fields: dict[str, Column], model: Model,
     column has only some of their words.
     """
     kind = df.schema[key].dataType.simpleString()
-    moves = [w for m, w, t in model.moves if m == "utf-8" and t == 1]
+    moves = [w for m, w, t in model.moves if m == "utf-8" and t == 1 and w != ALIGNED]
     each = None
     for f, c in fields.items():
         own = F.xxhash64(F.lit(f), (whole or {}).get(f, c))

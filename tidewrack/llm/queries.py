@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _title_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     works = table(spark, sf_dir, "works")
     damage = _damage_model(works)
-    shared = spark.sparkContext.broadcast((damage.moves, damage.chars, damage.texts))
+    shared = spark.sparkContext.broadcast(damage.args())
 
     def mend():
         model = encoding.Model(*shared.value)
