@@ -384,7 +384,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     Each group of texts with one skeleton has one rival, the text with the fewest non-ASCII characters;
     every other text is aligned with it, so a group of n texts gives n - 1 pairs.
     """
-    distinct = cut(texts.select(F.col(text).alias("t")).filter(F.col("t").rlike(STRANGE)).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    distinct = cut(texts.select(F.col(text).alias("t")).filter(is_strange(F.col("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
     each = F.array_distinct(F.split(F.regexp_replace("t", r"[\x00-\x7f]", ""), ""))
     chars = {r.c: r.n for r in distinct.select(F.explode(each).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect() if len(r.c) == 1}
     keyed = distinct.withColumn("k", skeleton(F.col("t"))).filter("k IS NOT NULL").withColumn("strange", F.length(F.regexp_replace("t", r"[\x00-\x7f]", "")))
@@ -408,7 +408,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     exact = spread(legacy, "t").mapInPandas(guess, "t string, meant string, wrong string, twin string").join(distinct.select(F.col("t").alias("twin")), "twin", "left_semi")
     said = spread(pairs, "t").mapInPandas(work, "meant string, wrong string, times int, n bigint").unionAll(exact.select("meant", "wrong", F.lit(1).alias("times"), F.lit(1).cast("bigint").alias("n")))
     # As many rows as the catalogue has transformations, and characters of the alphabet with what twins made of them.
-    got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).collect()
+    got = said.groupBy("meant", "wrong", "times").agg(F.sum("n").alias("n")).filter((F.col("meant") != "?") | (F.col("n") >= VOTES)).collect()
     total, named = distinct.count(), [r for r in got if r.meant != "?"]
     least = max(VOTES, VOTE_SHARE * sum(r.n for r in named))
     moves = sorted((r for r in named if r.n >= least), key=lambda r: (-r.n, r.meant, r.wrong, r.times))
@@ -447,19 +447,24 @@ def find_damage(df: DataFrame, key: str, fields: dict[str, Column], model: Model
     return busy(strange, key).mapInPandas(work, f"`{key}` {kind}, field_name string, restored array<string>")
 
 
+def is_strange(c: Column) -> Column:
+    """As the pattern STRANGE, which only runs over ASCII that holds a plus."""
+    return (F.octet_length(c) > F.char_length(c)) | (c.contains("+") & c.rlike(STRANGE))
+
+
 def strange_words(c: Column | str) -> Column:
     """The words of an inverted index that are not plain ASCII."""
-    return F.filter(F.coalesce(F.map_keys(c), F.array().cast("array<string>")), lambda w: w.rlike(STRANGE))
+    return F.filter(F.coalesce(F.map_keys(c), F.array().cast("array<string>")), is_strange)
 
 
 def whole_index(c: Column | str) -> Column:
-    """An inverted index as a value that can be compared."""
-    return F.array_sort(F.map_entries(c))
+    """An inverted index as a number that does not depend on the order of its words."""
+    return F.aggregate(F.map_entries(c), F.lit(0).cast("bigint"), lambda a, e: a.bitwiseXOR(F.xxhash64(e["key"], e["value"])))
 
 
 def strange_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.rlike(STRANGE), F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.when(is_strange(c), F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
 def tokens_of(c: Column) -> Column:
