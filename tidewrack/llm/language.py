@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from operator import length_hint
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ MOST_CHARS = 48_000
 TRIPLES = 1 << 16
 #: A part wins clearly if the other part's language needs so many times its bits.
 MARGIN = 1.25
-#: A language that needs so many times the best one's bits is not parsed further.
-FAR = 1.8
+#: A language that needs so many times the best one's bits is set aside, to be parsed on if it may be second. Above MARGIN
+#: this decides nothing but the order of work.
+FAR = 1.3
 #: Letters that a part must have, in alphabets of letters and in scripts where a sign says more.
 LEAST_LATIN, LEAST_OTHER = 12, 5
 
@@ -138,24 +140,31 @@ class Automaton:
         self.bits = math.log2(len(text) + 2)
         self.chars = set(text)
 
-    def phrases(self, text: str, limit: float) -> int:
-        """Phrases of the greedy parse, an unknown character being one; stops once there are more than ``limit``."""
-        root = node = self.root
-        count = 0
-        for ch in text:
+    def parse(self, text: str, limit: float, state: tuple | None = None) -> tuple[int, tuple | None]:
+        """Phrases of the greedy parse, an unknown character being one; stops once there are more than ``limit``.
+
+        Beside the count comes where it stopped, to go on from there, or null at the end of the text.
+        """
+        root = self.root
+        at, node, count = state or (0, root, 0)
+        left = iter(text[at:] if at else text)
+        for ch in left:
             to = node.get(ch)
             if to is None:
                 if node is not root:
                     to = root.get(ch)
                 count += 1
-                if count > limit:
-                    break
                 node = root if to is None else to
+                if count > limit:
+                    return count, (len(text) - length_hint(left), node, count)
             else:
                 if node is root:
                     count += 1
                 node = to
-        return count
+        return count, None
+
+    def phrases(self, text: str, limit: float) -> int:
+        return self.parse(text, limit)[0]
 
 
 class Judge:
@@ -165,8 +174,8 @@ class Judge:
         self.last = ""
         self.by = {lang: Automaton("\n".join(t)[:MOST_CHARS]) for lang, t in sorted(texts.items()) if t}
 
-    def rank(self, text: str) -> list[tuple[float, str]]:
-        """``(bits a character, language)``, best first; for those far from the best the bits are a bound from below."""
+    def rank(self, text: str) -> list[tuple[float, str, tuple | None]]:
+        """``(bits a character, language, rest)``, best first; where a rest is left to parse the bits are a bound from below."""
         text = essence(text)
         if not text or not self.by:
             return []
@@ -176,14 +185,15 @@ class Judge:
         best, out = math.inf, []
         for lang in sorted(able, key=lambda x: x != self.last):
             a = self.by[lang]
-            bits = a.phrases(text, FAR * best / a.bits) * a.bits
+            count, rest = a.parse(text, FAR * best / a.bits)
+            bits = count * a.bits
             best = min(best, bits)
-            out.append((bits / len(text), lang))
-        out.sort()
+            out.append((bits / len(text), lang, rest))
+        out.sort(key=lambda x: x[:2])
         self.last = out[0][1]
         return out
 
-    def confidence(self, text: str, ranked: list[tuple[float, str]]) -> float:
+    def confidence(self, text: str, ranked: list[tuple[float, str, tuple | None]]) -> float:
         """How far the winner is ahead of the second, from 0 to 1; 1 with no second.
 
         The second is parsed to its end: which languages were broken off, and where, depends on the order of trial.
@@ -191,11 +201,14 @@ class Judge:
         if len(ranked) < 2:
             return 1.0
         text, second = essence(text), math.inf
-        for bits, lang in ranked[1:]:
-            if bits * len(text) > second:
-                break  # bounds from below: the others need more
-            a = self.by[lang]
-            second = min(second, a.phrases(text, second / a.bits) * a.bits)
+        # Those that got furthest are likeliest to be second; the others then soon need more.
+        for bits, lang, rest in sorted(ranked[1:], key=lambda x: -x[2][0] if x[2] else -math.inf):
+            if rest:
+                a = self.by[lang]
+                bits = a.parse(text, second / a.bits, rest)[0] * a.bits
+            else:
+                bits *= len(text)
+            second = min(second, bits)
         return round(1 - ranked[0][0] * len(text) / second, 4) if second else 0.0
 
     def holds(self, text: str, lang: str) -> bool:
@@ -214,7 +227,7 @@ class Judge:
         one = self.rank(plain(text))
         return [(a, b, ranked[0][1], self.confidence(x, ranked)) for a, b, x, ranked in self.split(text, 0, one)] if one else []
 
-    def split(self, text: str, at: int, one: list[tuple[float, str]]) -> list[tuple[int, int, str, list[tuple[float, str]]]]:
+    def split(self, text: str, at: int, one: list) -> list[tuple[int, int, str, list]]:
         """``(start, end, plain text, ranks)`` of a text's stretches: cut in two where that is best, then each side likewise."""
         best = None
         for m in _SPLIT.finditer(text):
@@ -246,9 +259,9 @@ class Judge:
         return joined
 
 
-def other(ranked: list[tuple[float, str]], lang: str) -> float:
+def other(ranked: list[tuple[float, str, tuple | None]], lang: str) -> float:
     """Bits of a language, or twice the worst ranked one if it was left out."""
-    return next((b for b, x in ranked if x == lang), 2 * ranked[-1][0])
+    return next((b for b, x, _ in ranked if x == lang), 2 * ranked[-1][0])
 
 
 def essence(text: str) -> str:
@@ -260,6 +273,8 @@ def essence(text: str) -> str:
 
 
 def enough(text: str) -> bool:
+    if text.isascii():
+        return sum(map(str.isalpha, text)) >= LEAST_LATIN
     letters = [c for c in text if c.isalpha()]
     others = sum(ord(c) > 0x24F for c in letters)
     return others >= LEAST_OTHER or len(letters) - others >= LEAST_LATIN
