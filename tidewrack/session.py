@@ -75,7 +75,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         leaf = leaves.apply(i)
         if leaf.nodeName() == "LogicalRDD":
             parts = max(parts, leaf.rdd().getNumPartitions())
-        elif leaf.nodeName().startswith("Relation"):
+        elif "Relation" in leaf.nodeName():
             files += int(str(leaf.stats().sizeInBytes()))
     if files > LARGE * sc.defaultParallelism:
         return df.hint("rebalance", *keys)
